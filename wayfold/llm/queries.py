@@ -2,5 +2,21 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.versions import current_rows
+from ..sources.tables import table
+from . import script_forms
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of current nodes whose name, alt_name or official_name look the same in print but differ as stored."""
+    tags = ("name", "alt_name", "official_name")
+    nodes = current_rows(table(spark, folder, "osm_nodes"), {t: F.col("tags")[t] for t in tags})
+    fields = nodes.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col(t).alias("value")) for t in tags])).alias("f")).select("id", "f.tag", "f.value")
+    return script_forms.look_alikes(fields, "tag", "id", "value")
+
+
+QUERIES = {"p6_found": p6_found}
 SQL: dict[str, str] = {}
