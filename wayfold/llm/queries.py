@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import current_rows
 from ..sources.tables import table
-from . import script_forms
+from . import canonical, script_forms
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,5 +18,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return script_forms.look_alikes(fields, "tag", "id", "value")
 
 
-QUERIES = {"p6_found": p6_found}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Current nodes whose amenity tag is not a list entry, with the entry meant, or '(none)'."""
+    nodes = current_rows(table(spark, folder, "osm_nodes"), {"typed": F.col("tags")["amenity"]}).where(F.col("typed").isNotNull())
+    listed = table(spark, folder, "amenity_list")
+    open_nodes = nodes.join(listed.select(F.col("value").alias("typed")), "typed", "left_anti")
+    mapped = canonical.map_to_list(open_nodes, listed, value="typed")
+    return open_nodes.join(mapped, "typed").select(F.col("id").alias("node_id"), F.coalesce("entry", F.lit("(none)")).alias("value"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
