@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import current_rows
 from ..sources.tables import table
-from . import canonical, script_forms
+from . import canonical, script_forms, shared_spans
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,5 +27,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return open_nodes.join(mapped, "typed").select(F.col("id").alias("node_id"), F.coalesce("entry", F.lit("(none)")).alias("value"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal runs of text shared with another document in stretches of 200 characters or more."""
+    return shared_spans.shared_spans(table(spark, folder, "documents"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of each document's text that is found elsewhere."""
+    docs = table(spark, folder, "documents")
+    return shared_spans.shared_shares(docs, shared_spans.shared_spans(docs))
+
+
+QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
