@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import current_rows
 from ..sources.tables import table
-from . import canonical, script_forms, shared_spans
+from . import canonical, mixing, packing, script_forms, shared_spans, tokens
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,5 +38,33 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_shares(docs, shared_spans.shared_spans(docs))
 
 
-QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p6_found": p6_found}
+CONTAINER = 2048
+
+
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Container of every text, or piece of a text over 2,048 tokens, with the fill of the container."""
+    docs = table(spark, folder, "documents")
+    chars = docs.agg(F.sum("n_chars")).first()[0] or 0  # reads one number column; only sets how many parts there are
+    sized = docs.select("doc_id", tokens.n_tokens(F.col("text")).alias("n_tokens"))
+    packed = packing.pack(sized, "doc_id", "n_tokens", CONTAINER, parts=packing.parts_for(chars // 4, CONTAINER))
+    return packed.select(F.col("item").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"), "part", "container", "fill")
+
+
+def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
+    docs = table(spark, folder, "documents").where(F.col("source").isNotNull())
+    sized = docs.select(F.col("doc_id").alias("id"), "source", tokens.n_tokens(F.col("text")).alias("size"))
+    return mixing.mix(sized, table(spark, folder, "source_weights"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts mixed to the sources' target shares of all tokens: shard, position, document, copy, source, tokens."""
+    return _mix(spark, folder).records.select("shard", "pos", F.col("id").alias("doc_id"), "copy", "source", F.col("size").alias("n_tokens"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in the mix."""
+    return _mix(spark, folder).report
+
+
+QUERIES = {"p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
