@@ -24,7 +24,7 @@ _RUNS = f"{_QUOTED}|[^{_OPENERS}]+|[{_OPENERS}]"
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s 　]+|[\s 　]+$", "")
+    return F.regexp_replace(c, r"^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$", "")
 
 
 def _unquote(c: Column) -> Column:
