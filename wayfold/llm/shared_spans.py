@@ -134,7 +134,7 @@ def _chunks(docs: list[int], texts: list[str | None], span: int) -> Iterator[tup
         yield ds, ts
 
 
-_ANCHOR = pa.schema([("part", pa.int64()), ("ctx", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("at", pa.int64())])
+_ANCHOR = pa.schema([("part", pa.int64()), ("ctx", pa.int64()), ("kind", pa.int32()), ("doc", pa.int64()), ("last", pa.int64()), ("at", pa.int64())])
 
 
 def _anchor_rows(span: int, k: int):
@@ -171,10 +171,11 @@ def _anchor_rows(span: int, k: int):
             last = doc[pick]
             last[lone.sum() : lone.sum() + len(heads) + len(bare)] = np.concatenate((high[np.searchsorted(head, heads)], bare_high))
             ctxs = ctx[pick]
-            ctxs[kind >= SETTLED] = 0
+            ctxs[kind == SETTLED] = 0
+            ctxs[kind == OPEN] = key[pick][kind == OPEN]  # stands under its record, so its anchor goes here
             # a bare head must not make its own stretch look recurrent: it gets a stretch of no one
             ctxs[lone.sum() + len(heads) : lone.sum() + len(heads) + len(bare)] = 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(kind < SETTLED, key[pick], doc[pick]), ctxs, kind, key[pick], doc[pick], last, at[pick])], schema=_ANCHOR)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(kind < SETTLED, key[pick], doc[pick]), ctxs, kind, doc[pick], last, at[pick])], schema=_ANCHOR)
 
     return run
 
@@ -292,7 +293,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     asked = numbered.where((F.col("kind") == OPEN) | (F.col("c0") == F.col("c1")) | F.col("first"))
     # a stretch that several records have is held once; "last" names another record that has it
     other = F.when(F.col("doc") == F.col("c1"), F.col("c0")).otherwise(F.col("c1"))
-    asked = asked.select("key", "doc", F.when(F.col("kind") == OPEN, F.col("doc")).otherwise(other).alias("last"), "at")
+    key_of = F.when(F.col("kind") == OPEN, F.col("ctx")).otherwise(F.col("part"))
+    asked = asked.select(key_of.alias("key"), "doc", F.when(F.col("kind") == OPEN, F.col("doc")).otherwise(other).alias("last"), "at")
     crowded = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
 
     def cut(wanted: DataFrame) -> DataFrame:
