@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import current_rows
 from ..sources.tables import table
-from . import canonical, mixing, packing, script_forms, shared_spans, tokens
+from . import canonical, mixing, packing, script_forms, shared_spans, term_counts, tokens
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +18,46 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return script_forms.look_alikes(fields, "tag", "id", "value")
 
 
+TERM_KEYS = ("amenity", "place", "operator", "surface", "wheelchair", "check_date")
+
+
+def _terms(rows: DataFrame) -> DataFrame:
+    packed = F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}__"), F.col(k))) for k in TERM_KEYS])
+    return rows.select(F.explode(packed).alias("term")).where(F.col("term").isNotNull())
+
+
+def _marked_terms(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = table(spark, folder, "osm_nodes")
+    keys = {k: F.col("tags")[k] for k in TERM_KEYS}
+    current = current_rows(nodes, keys)
+    counts = term_counts.term_counts(_terms(nodes.select(*[c.alias(k) for k, c in keys.items()])), _terms(current))
+    ids = nodes.where(F.col("id").isNotNull()).agg(F.count_distinct("id")).first()[0]
+    return term_counts.marked(counts, ids)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of current rows that are too rare or too common."""
+    return _marked_terms(spark, folder).where((F.col("records") > 0) & F.col("mark").isNotNull()).select("term", "mark")
+
+
+def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term with its occurrences over all delivered rows, the nodes whose current row has it, and its mark."""
+    return _marked_terms(spark, folder).select("term", "occurrences", F.col("records").alias("nodes"), "mark")
+
+
+_P3 = """
+WITH t AS (SELECT id, version, unnest(['amenity','place','operator','surface','wheelchair','check_date']) AS k, tags FROM osm_nodes),
+d AS (SELECT id, version, k || '__' || map_extract(tags, k)[1] AS term FROM t),
+v AS (SELECT id, max(version) AS version FROM osm_nodes GROUP BY id),
+c AS (SELECT DISTINCT d.id, d.term FROM d JOIN v USING (id, version) WHERE d.term IS NOT NULL),
+n AS (SELECT term, count(*) AS nodes FROM c GROUP BY term),
+o AS (SELECT term, count(*) AS occurrences FROM d WHERE term IS NOT NULL GROUP BY term),
+m AS (SELECT o.term, occurrences, coalesce(nodes, 0) AS nodes,
+  CASE WHEN coalesce(nodes, 0) < 3 THEN 'rare' WHEN nodes * 20 > (SELECT count(DISTINCT id) FROM osm_nodes) THEN 'common' END AS mark
+  FROM o LEFT JOIN n ON o.term = n.term)
+"""
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Current nodes whose amenity tag is not a list entry, with the entry meant, or '(none)'."""
     nodes = current_rows(table(spark, folder, "osm_nodes"), {"typed": F.col("tags")["amenity"]}).where(F.col("typed").isNotNull())
@@ -66,5 +106,8 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).report
 
 
-QUERIES = {"p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p6_found": p6_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p6_found": p6_found}
+SQL: dict[str, str] = {
+    "p3_found": _P3 + "SELECT term, mark FROM m WHERE nodes > 0 AND mark IS NOT NULL",
+    "p3_terms": _P3 + "SELECT term, occurrences, nodes, mark FROM m",
+}
