@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import current_rows
 from ..sources.tables import table
-from . import canonical, mixing, packing, script_forms, shared_spans, term_counts, tokens
+from . import canonical, mixing, packing, script_forms, shared_spans, term_counts, tokens, variant_names
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +58,15 @@ m AS (SELECT o.term, occurrences, coalesce(nodes, 0) AS nodes,
 """
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of current nodes with an office tag that stand for the same person or firm."""
+    tags = F.col("tags")
+    columns = {k: tags[k] for k in ("office", "name", "old_name", "short_name", "alt_name")} | {"city": tags["addr:city"]}
+    nodes = current_rows(table(spark, folder, "osm_nodes").where(F.col("id").isNotNull()), columns).where(F.col("office").isNotNull())
+    names = F.array_compact(F.array("name", "old_name", "short_name", "alt_name"))
+    return variant_names.links(nodes.withColumn("names", names), "office", "id", "city", "names")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Current nodes whose amenity tag is not a list entry, with the entry meant, or '(none)'."""
     nodes = current_rows(table(spark, folder, "osm_nodes"), {"typed": F.col("tags")["amenity"]}).where(F.col("typed").isNotNull())
@@ -106,7 +115,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).report
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_terms": p3_terms, "p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {
     "p3_found": _P3 + "SELECT term, mark FROM m WHERE nodes > 0 AND mark IS NOT NULL",
     "p3_terms": _P3 + "SELECT term, occurrences, nodes, mark FROM m",
