@@ -78,7 +78,7 @@ def places(rows: DataFrame, is_way: bool = False, rules: list[Rule] = RULES) ->
 def street_ways(ways: DataFrame) -> DataFrame:
     """(way_id, name, lat_e7, lng_e7, line) of ways with a highway tag and a name, placed at their first node."""
     t = F.col("tags")
-    return ways.where(F.map_contains_key(t, F.lit("highway")) & t["name"].isNotNull()).select(F.col("id").alias("way_id"), t["name"].alias("name"), F.col("line")[0]["lat_e7"].alias("lat_e7"), F.col("line")[0]["lng_e7"].alias("lng_e7"), "line")
+    return ways.where(F.map_contains_key(t, F.lit("highway")) & t["name"].isNotNull()).select(F.col("id").alias("way_id"), t["name"].alias("name"), F.get("line", F.lit(0))["lat_e7"].alias("lat_e7"), F.get("line", F.lit(0))["lng_e7"].alias("lng_e7"), "line")
 
 
 def located_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def area_rows(areas: DataFrame) -> DataFrame:
 def plain_area_features(areas: DataFrame) -> DataFrame:
     """Areas of relations that are no boundary, as features at the first corner of their first outer ring."""
     t = F.col("tags")
-    first = F.col("polygons")[0]["outer"][0]
+    first = F.get(F.get("polygons", F.lit(0))["outer"], F.lit(0))
     return areas.where(t["timezone"].isNull() & t["boundary"].isNull() & ~F.col("from_way")).select("id", first["lat_e7"].alias("lat_e7"), first["lng_e7"].alias("lng_e7"), "tags")
 
 
@@ -195,6 +195,6 @@ def assembled(relations: DataFrame, ways: DataFrame) -> DataFrame:
 def closed_way_areas(ways: DataFrame) -> DataFrame:
     """(id, from_way, polygons, tags) of closed ways."""
     line = F.col("line")
-    closed = (F.size(line) > 3) & (line[0] == F.element_at(line, -1))
+    closed = (F.size(line) > 3) & (F.get(line, F.lit(0)) == F.try_element_at(line, F.lit(-1)))
     one = F.array(F.struct(line.alias("outer"), F.array().cast("array<array<struct<lat_e7:int,lng_e7:int>>>").alias("inners")))
     return ways.where(closed).select("id", F.lit(True).alias("from_way"), one.alias("polygons"), "tags")
