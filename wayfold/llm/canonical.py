@@ -59,8 +59,9 @@ def map_to_list(values: DataFrame, reference: DataFrame, value: str = "value", e
     postings = index.groupBy("g").agg(F.first("w").alias("w"), F.collect_list(F.struct("e", "ec", "x")).alias("ps"))
     if total <= BROADCAST_ENTRIES:
         postings = F.broadcast(postings)
-    # few bytes but much work: spread over a stated number of tasks, which adaptive execution leaves alone
-    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes but much work: spread over a stated number of tasks, which adaptive execution leaves alone; it must not be
+    # the number that shuffles have anyway, or the planner takes this one out
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
     distinct = values.where(F.col(value).isNotNull()).select(F.col(value).alias("typed")).distinct().repartition(tasks, "typed")
     typed = distinct.withColumn("tw", words(F.col("typed")))
     asked = typed.select("typed", F.array_join("tw", "").alias("tc"), F.explode(grams(F.col("tw"))).alias("g")).groupBy("typed", "tc", "g").agg(F.count(F.lit(1)).alias("c"))
