@@ -49,6 +49,8 @@ def test_pack(spark):
     big = out[out.item == 5000].sort_values("piece")
     assert big["size"].tolist() == [1000, 1000, 1000, 1000, 103] and big["start"].tolist() == [0, 1000, 2000, 3000, 4000]
     assert sums.mean() > 950
+    again = pack(spark.createDataFrame(rows, "id long, n long, fill string").repartition(7), "id", "n", 1000, parts=3, look_ahead=1).toPandas()
+    assert again["size"].sum() == out["size"].sum() and again.groupby(["part", "container"])["size"].sum().max() <= 1000
     assert pack(spark.createDataFrame([], "id long, n long"), "id", "n", 10, parts=2).count() == 0
 
 

@@ -4,8 +4,11 @@ Method: bounded-space online best fit. At any time a fixed number of containers
 bitset over the sizes that occur, so the tightest container that still takes an item is found in a few word operations. An
 item goes there; if none takes it a container is opened, and if too many are open the fullest closes first.
 
-The items are dealt into parts by a hash of their id and each part is packed by itself, in the order of the ids, so the
-result does not depend on how the input is stored. A part has at least some ten thousand containers' worth of items, which
+Items are looked at in runs of fixed length, in the order of their ids, and within a run the large ones come first, so that
+small ones fill the gaps; what is held at a time stays bounded.
+
+The items are dealt into parts by a hash of their id and each part is packed by itself, so the result does not
+depend on how the input is stored. A part has at least some ten thousand containers' worth of items, which
 makes the half-filled containers at its end negligible; the number of parts follows the total size. Items over the capacity
 are split first, into full pieces and a rest; nothing else is split.
 """
@@ -64,25 +67,37 @@ def pieces(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     return cut.select("item", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.lit(capacity), F.col("n") - start).alias("size"))
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, parts: int, most_open: int = 256) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, parts: int, most_open: int = 256, look_ahead: int = 1000) -> DataFrame:
     """Container of every item or piece: (item, piece, start, size, part, container, fill).
 
     ``fill`` is the sum of the sizes in the container, at most the capacity. A repeated key is an item of its own each time;
     ties are broken by the size. An empty table gives an empty result.
     """
-    assert capacity > 0 and parts > 0 and most_open > 0
+    assert capacity > 0 and parts > 0 and most_open > 0 and look_ahead > 0
     dealt = pieces(items, key, size, capacity).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
     ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "item", "piece", "size")
 
+    names = ["item", "piece", "start", "size", "part"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, boxes = None, None
+        part, boxes, held = None, None, []
+
+        def settle() -> Iterator[pd.DataFrame]:
+            held.sort(key=lambda r: -r[3])  # stable: equal sizes stay in the order of the ids
+            if held:
+                at = [boxes.put(r[3]) for r in held]
+                yield pd.DataFrame(held, columns=names).assign(container=at)
+                held.clear()
+
         for b in batches:
-            at = []
-            for p, n in zip(b["part"].tolist(), b["size"].tolist(), strict=True):
-                if p != part:
-                    part, boxes = p, BestFit(capacity, most_open)
-                at.append(boxes.put(n))
-            yield b.assign(container=at)
+            for row in zip(*(b[c].tolist() for c in names), strict=True):
+                if row[4] != part:
+                    yield from settle()
+                    part, boxes = row[4], BestFit(capacity, most_open)
+                held.append(row)
+                if len(held) >= look_ahead:
+                    yield from settle()
+        yield from settle()
 
     placed = ordered.mapInPandas(run, "item long, piece int, start long, size long, part int, container long")
     fills = placed.groupBy("part", "container").agg(F.collect_list(F.struct("item", "piece", "start", "size")).alias("in"), F.sum("size").alias("fill"))
