@@ -1,6 +1,7 @@
+import math
 import random
 
-from wayfold.llm.variant_names import edits, links
+from wayfold.llm.variant_names import edits, links, similarity
 
 
 def osa(a, b):
@@ -35,3 +36,33 @@ def test_links(spark):
     got = {tuple(r) for r in links(df, "office", "id", "city", "names").collect()}
     assert got == {(1, 2), (1, 3), (2, 3), (3, 6), (10, 11), (10, 12), (11, 12), (30, 31), (30, 33), (31, 33), (34, 35)}
     assert links(df.limit(0), "office", "id", "city", "names").count() == 0
+
+
+def test_frequent_surname_loses_no_pair(spark):
+    """A surname held by a third of all names: the links are those of all pairs compared."""
+    rnd = random.Random(4)
+    word = lambda k: "".join(rnd.choice("bcdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(k))
+    given = [word(4) for _ in range(70)]
+    whole = [(w, "schmidt") for w in given] + [(rnd.choice(given), word(5)) for _ in range(140)]
+    whole += [("anastasia", "schmidt"), ("a", "schmidt"), ("alexander", "schmidt"), ("allexander", "schmidt"), ("alexandre", "schmdit"), ("a", "schmid"), (given[0][0], "schmidt"), (given[1][:-1], "schmitt")]
+    whole += [("alexander", word(5)) for _ in range(75)]
+    df = spark.createDataFrame([(i, "vet", "X", [" ".join(w)]) for i, w in enumerate(whole)], "id long, office string, city string, names array<string>")
+    got = {tuple(r) for r in links(df, "office", "id", "city", "names").collect()}
+
+    words = [sorted(w) for w in whole]
+    held: dict[str, int] = {}
+    for w in {tuple(w) for w in words}:
+        for v in set(w):
+            held[v] = held.get(v, 0) + 1
+    total = len({tuple(w) for w in words})
+    assert held["schmidt"] > total / 4 and held["alexander"] > held["schmidt"]
+    weight = {v: math.log1p(total / n) for v, n in held.items()}
+    want = set()
+    for j in range(len(words)):
+        for i in range(j):
+            cost = {(p, q): osa(p, q) for p in words[i] for q in words[j]}
+            d, score, least = similarity(words[i], words[j], weight, cost)
+            if d <= 4 and score >= 0.7 and least >= 0.5:
+                want.add((i, j))
+    assert (210, 211) in want and (212, 213) in want
+    assert got == want

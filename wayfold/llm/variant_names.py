@@ -5,8 +5,9 @@ are set aside, and short forms of given names are brought to the full one. What
 order; a single letter stands for every word it begins.
 
 Candidates come from a set-similarity join on the words' q-grams with a prefix filter: grams are ordered from rare to
-common, and two words that share ``overlap`` grams must meet in the leading ones. Only words that are rare in the collection
-ask for candidates, so a frequent given name draws no pairs. A candidate is verified on the whole names by soft token
+common, and two words that share ``overlap`` grams must meet in the leading ones. Every word asks for candidates; where one of
+the two words is frequent in the collection, the names must also meet in a second word (see ``second_keys``), which every pair
+that can be accepted does, so a frequent name draws few pairs and loses none. A candidate is verified on the whole names by soft token
 similarity: words are assigned to each other at the least cost in edits (swapped neighbours count once), every word must be
 similar, and the mean similarity, weighted so that rare words count more, must reach a threshold. Names are compared once
 per distinct spelling; nodes are only attached to the links that remain.
@@ -19,7 +20,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import kept
@@ -152,6 +153,30 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"na": b["na"], "nb": b["nb"], "edits": [o[0] for o in out], "score": [o[1] for o in out], "least": [o[2] for o in out]})
 
 
+#: Letters from rare to common; any fixed order is right, a good one leaves fewer pairs to look at.
+_FROM_RARE, _RANKS = "qxyjwvpzkfbgcmduholtsrnaie", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def second_keys(words: Column, w: Column, near: int, right: bool) -> Column:
+    """What two names whose words ``w`` are assigned to each other share in a second word, if they can be accepted at all.
+
+    Two words up to ``near`` edits apart have all but ``near`` letters of their bags in common, and words less alike than by
+    half are never accepted, so they share one of the ``near`` + 1 leading letters in any fixed order (prefix filter). An
+    initial meets what it begins; its keys tell the sides apart, so that full words do not meet by their first letters. A name
+    without other words has the empty key.
+    """
+    at = F.array_position(words, w).cast("int")
+    rest = F.filter(words, lambda x, i: i != at - 1)
+    rank = lambda e: F.struct(-F.substring(e, 2, 9).cast("int"), F.translate(F.substring(e, 1, 1), _FROM_RARE, _RANKS), e.alias("e"))
+    lead = lambda x: F.transform(F.slice(F.array_sort(F.transform(letters(x), rank)), 1, near + 1), lambda r: r["e"])
+    first = lambda x: F.substring(x, 1, 1)
+    own, other = ("K", "J") if right else ("J", "K")
+    initial = lambda x: F.array(F.concat(F.lit("I"), first(x)), F.concat(F.lit(own), first(x)))
+    word = lambda x: F.array_append(lead(x), F.concat(F.lit(other), first(x)))
+    keys = F.array_distinct(F.flatten(F.transform(rest, lambda x: F.when(F.length(x) < 2, initial(x)).otherwise(word(x)))))
+    return F.when(F.size(rest) == 0, F.array(F.lit(""))).otherwise(keys)
+
+
 def links(
     records: DataFrame, group: str, key: str, place: str, names: str, overlap: int = 2, near: float = 4.0, far: float = 3.0,
     score: float = 0.7, least: float = 0.5, frequent: tuple[int, float] = (50, 0.001),
@@ -160,8 +185,8 @@ def links(
 
     ``names`` is an array; ``place`` tells records apart: with equal places up to ``near`` edits are allowed, with one
     unknown up to ``far``, and records of different places are not linked. Equal names are linked too. Null groups, keys and
-    names, and names without words of their own, take no part. ``frequent``: a word asks for candidates if it is in at most
-    so many names or so great a part of them, or is its name's rarest word.
+    names, and names without words of their own, take no part. ``frequent``: a word that is in more than so many names and
+    so great a part of them draws only names that meet in a second word too.
     """
     flat = records.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(place).alias("place"), F.explode(names).alias("name"))
     rows = kept(flat.select("g", "id", "place", name_words(F.col("name")).alias("words")).where(F.size("words") > 0).distinct().withColumn("n", F.xxhash64("g", "words")))
@@ -171,10 +196,9 @@ def links(
     df = worded.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     limit = max(frequent[0], int(frequent[1] * total))
     weighed = worded.join(df, "w").withColumn("weight", F.log1p(F.lit(float(max(total, 1))) / F.col("df")))
-    rarest = F.row_number().over(Window.partitionBy("n").orderBy(F.length("w") < 2, "df", "w")) == 1
-    asking = kept(weighed.withColumn("ask", (F.length("w") > 1) & ((F.col("df") <= limit) | rarest)))
+    asking = kept(weighed.withColumn("ask", F.length("w") > 1).withColumn("common", F.col("df") > limit))
 
-    # words that ask, once per group, with their grams from rare to common
+    # words, once per group, with their grams from rare to common
     own = asking.where("ask").select("g", "w").distinct()
     padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     grams = own.select("g", "w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3))))).alias("q"))
@@ -190,9 +214,18 @@ def links(
     met = met.where((F.length("va") <= LONGEST) | (F.col("va") == F.col("vb"))).select("g", "va", "vb").distinct()
     close = met.where(F.levenshtein("va", "vb", int(2 * near)) >= 0)
 
-    holders = asking.where("ask").select("g", "w", "n")
-    left = close.join(holders.select("g", F.col("w").alias("va"), F.col("n").alias("x")), ["g", "va"])
-    both = left.join(holders.select("g", F.col("w").alias("vb"), F.col("n").alias("y")), ["g", "vb"])
+    common = lambda v: asking.where("ask").select("g", F.col("w").alias(v), F.col("common").alias(f"common_{v}")).distinct()
+    close = kept(close.join(common("va"), ["g", "va"]).join(common("vb"), ["g", "vb"]).select("g", "va", "vb", (F.col("common_va") | F.col("common_vb")).alias("hot")))
+
+    holders = asking.where("ask").select("g", "w", "n", "words")
+    left = close.where(~F.col("hot")).join(holders.select("g", F.col("w").alias("va"), F.col("n").alias("x")), ["g", "va"])
+    rare = left.join(holders.select("g", F.col("w").alias("vb"), F.col("n").alias("y")), ["g", "vb"]).select("x", "y")
+    # keys are made once per name and word; a frequent word's names are spread by them over tasks
+    hot = close.where("hot").select("g", "va", "vb")
+    keyed = lambda v, n: holders.join(hot.select("g", F.col(v).alias("w")).distinct(), ["g", "w"]).select(
+        "g", F.col("w").alias(v), F.col("n").alias(n), F.explode(second_keys(F.col("words"), F.col("w"), int(near), v == "vb")).alias("key"))
+    frequented = hot.join(keyed("va", "x"), ["g", "va"]).join(keyed("vb", "y"), ["g", "vb", "key"]).select("x", "y")
+    both = rare.unionByName(frequented)
     pairs = both.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("na"), F.greatest("x", "y").alias("nb")).distinct()
     weights = asking.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("w", "weight"))).alias("m"), F.first("words").alias("words"))
     weights = weights.select("n", "words", F.transform("words", lambda w: F.col("m")[w]).alias("ws"), letters(F.array_join("words", "")).alias("bag"))
