@@ -1,7 +1,8 @@
 import math
 import random
+from itertools import permutations
 
-from wayfold.llm.variant_names import edits, links, similarity
+from wayfold.llm.variant_names import assigned, edits, links, similarity
 
 
 def osa(a, b):
@@ -66,3 +67,28 @@ def test_frequent_surname_loses_no_pair(spark):
                 want.add((i, j))
     assert (210, 211) in want and (212, 213) in want
     assert got == want
+
+
+MORE = [
+    ("Anna Maria Schmidt", "Anna Schmidt", True), ("Karl-Heinz Mueller", "Karlheinz Mueller", True), ("Enginering Bureau Lena Holzapfel", "Engineering Bureau Lena Holzapfel", True),
+    ("Adler Berger Conradi Drechsler Eschenbach", "Adler Berger Conradi Drechsler Eschenbahc", True), ("Anna M. Lindner", "Anna Lindner", True),
+    ("Peter Vogelsang", "Vogelsang", False), ("Gustav Wilhelm Tannert", "Gustav Erich Tannert", False), ("Otto Paul Emil Zander", "Otto Zander", True),
+    ("Donau" * 12 + " Kessler", "Donau" * 11 + "Donua Kessler", True),
+]
+
+
+def test_unequal_numbers_of_words(spark):
+    rows = [(10 * i + k, "tax", f"C{i}", [n]) for i, (a, b, _) in enumerate(MORE) for k, n in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "id long, office string, city string, names array<string>")
+    got = {tuple(r) for r in links(df, "office", "id", "city", "names").collect()}
+    assert got == {(10 * i, 10 * i + 1) for i, (*_, same) in enumerate(MORE) if same}
+
+
+def test_assignment():
+    rnd = random.Random(7)
+    for _ in range(200):
+        n = rnd.randint(1, 5)
+        cost = [[rnd.randint(0, 9) for _ in range(n + 1)] for _ in range(n)]
+        got = assigned(cost)
+        assert len(set(got)) == n
+        assert sum(cost[i][j] for i, j in enumerate(got)) == min(sum(cost[i][j] for i, j in enumerate(o)) for o in permutations(range(n + 1), n))

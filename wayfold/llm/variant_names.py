@@ -16,7 +16,6 @@ per distinct spelling; nodes are only attached to the links that remain.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -102,34 +101,124 @@ def letters_apart(a: Column, b: Column) -> Column:
     return F.greatest(F.size(a), F.size(b)) - F.size(F.array_intersect(a, b))
 
 
-#: Letters of the longest word that is compared by edits; longer words must be equal.
-LONGEST = 48
-#: Words of the longest name whose words are tried in every order; longer names must have equal words.
-MOST_WORDS = 4
+#: Edits and similarity that count for a word the other name does not have, and the edits for a lone letter.
+UNMATCHED, UNMATCHED_SIMILARITY, UNMATCHED_LETTER = 1.0, 0.5, 0.5
+#: Edits up to which two words of one name written as one are taken for a word of the other ("Karl-Heinz", "Karlheinz").
+JOINED = 2
+_SHORTER: dict[str, list[str]] = {}
+for _short, _full in (p.split() for p in SHORT_FORMS.split("|")):
+    _SHORTER.setdefault(_full, []).append(_short)
+
+
+def assigned(cost: list[list[float]]) -> list[int]:
+    """The column of each row in the assignment of least sum (Hungarian method); there are at least as many columns as rows."""
+    n, m = len(cost), len(cost[0])
+    u, v, row, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row[0], j0 = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row[j0]:
+            used[j0], delta, j1 = True, float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    d = cost[row[j0] - 1][j - 1] - u[row[j0]] - v[j]
+                    if d < least[j]:
+                        least[j], way[j] = d, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[row[j]], v[j] = u[row[j]] + delta, v[j] - delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            row[j0] = row[way[j0]]
+            j0 = way[j0]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if row[j]:
+            out[row[j] - 1] = j - 1
+    return out
+
+
+def joined(p: str, q: str) -> list[str]:
+    """Two words of a name written as one, in either order, given names also in their short forms."""
+    forms = [(x, y) for x in (p, *_SHORTER.get(p, ())) for y in (q, *_SHORTER.get(q, ()))]
+    return [x + y for x, y in forms] + [y + x for x, y in forms]
+
+
+def _rests(b: list[str]) -> Iterator[tuple[list[str], list[str]]]:
+    """The ways of taking two full words out of a name: (words left, the two written as one)."""
+    for i in range(len(b)):
+        for j in range(i + 1, len(b)):
+            if len(b[i]) > 1 and len(b[j]) > 1:
+                yield [*b[:i], *b[i + 1 : j], *b[j + 1 :]], joined(b[i], b[j])
+
+
+def compared(a: list[str], b: list[str]) -> Iterator[tuple[str, str]]:
+    """Pairs of words whose edits ``similarity`` may ask for."""
+    if len(a) > len(b):
+        a, b = b, a
+    yield from ((p, q) for p in a for q in b)
+    if len(b) > len(a):
+        near = lambda p, q: abs(len(p) - len(q)) <= JOINED
+        yield from ((p, q) for _, forms in _rests(b) for q in forms for p in a if near(p, q))
 
 
 def similarity(a: list[str], b: list[str], wa: dict[str, float], cost: dict[tuple[str, str], int]) -> tuple[float, float, float]:
-    """(cost in edits, weighted similarity, least similarity of a word) of the best assignment of two names' words."""
+    """(cost in edits, weighted similarity, least similarity of a word) of the best assignment of two names' words.
+
+    Every word of the name with fewer words is assigned; words left over in the other cost ``UNMATCHED`` edits each and
+    count as half alike, unless two of them are one word of the other name. A single word is never a name of several.
+    """
     if a == b:
         return 0.0, 1.0, 1.0
     if len(a) > len(b):
         a, b = b, a
-    if len(b) > MOST_WORDS or len(b) - len(a) > 0:
-        return float("inf"), 0.0, 0.0
+
+    def pair(p: str, q: str) -> tuple[float, float]:
+        if len(p) == 1 or len(q) == 1:
+            return (0.0 if p == q else 0.5, 1.0 if p == q else 0.8) if p[0] == q[0] else (99.0, 0.0)
+        d = cost[p, q] if (p, q) in cost else cost[q, p]
+        return d, 1 - d / max(len(p), len(q))
+
     best = (float("inf"), 0.0, 0.0)
-    for order in permutations(b):
+    if len(a) == len(b) or len(a) > 1:
+        table = [[pair(p, q) for q in b] for p in a]
+        # of assignments with equal edits, the more similar
+        order = assigned([[d + 1e-6 * (1 - s) for d, s in line] for line in table])
         total = sims = weights = 0.0
         least = 1.0
-        for p, q in zip(a, order, strict=True):
-            if len(p) == 1 or len(q) == 1:
-                d, s = (0.0 if p == q else 0.5, 1.0 if p == q else 0.8) if p[0] == q[0] else (99.0, 0.0)
-            else:
-                d = cost[p, q] if (p, q) in cost else cost[q, p]
-                s = 1 - d / max(len(p), len(q))
-            w = max(wa.get(p, 0.0), wa.get(q, 0.0))
+        for i, j in enumerate(order):
+            d, s = table[i][j]
+            w = max(wa.get(a[i], 0.0), wa.get(b[j], 0.0))
             total, sims, weights, least = total + d, sims + w * s, weights + w, min(least, s)
-        if total < best[0]:
-            best = (total, sims / weights if weights else 0.0, least)
+        for j in set(range(len(b))) - set(order):
+            w = wa.get(b[j], 0.0)
+            total, sims, weights = total + (UNMATCHED if len(b[j]) > 1 else UNMATCHED_LETTER), sims + w * UNMATCHED_SIMILARITY, weights + w
+        best = (total, sims / weights if weights else 0.0, least)
+    if len(b) > len(a):
+        for rest, forms in _rests(b):
+            for q in forms:
+                for i, p in enumerate(a):
+                    if abs(len(p) - len(q)) > JOINED or len(p) < 2:
+                        continue
+                    d, s = pair(p, q)
+                    if d > JOINED:
+                        continue
+                    left = [*a[:i], *a[i + 1 :]]
+                    if not left:
+                        if rest:
+                            continue
+                        total, score, least = d, s, s
+                    else:
+                        total, score, least = similarity(left, rest, wa, cost)
+                        own = wa.get(p, 0.0)
+                        others = sum(max(0.0, wa.get(x, 0.0)) for x in rest)
+                        total, score, least = total + d, (score * others + own * s) / (others + own) if others + own else 0.0, min(least, s)
+                    if total < best[0]:
+                        best = (total, score, least)
     return best
 
 
@@ -140,15 +229,17 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs: dict[tuple[str, str], int] = {}
         names_a, names_b = [list(x) for x in b["a"]], [list(x) for x in b["b"]]
         for p, q in zip(names_a, names_b, strict=True):
-            if len(p) == len(q) <= MOST_WORDS:
-                for u in p:
-                    for v in q:
-                        if (u, v) not in pairs and (v, u) not in pairs:
-                            pairs[u, v] = 0 if u == v else max(len(u), len(v))
-        short = [k for k, d in pairs.items() if d and max(map(len, k)) <= LONGEST]
-        for i in range(0, len(short), 5000):
-            part = short[i : i + 5000]
+            for u, v in compared(p, q):
+                if (u, v) not in pairs and (v, u) not in pairs:
+                    pairs[u, v] = 0 if u == v else max(len(u), len(v))
+        open_pairs = sorted((k for k, d in pairs.items() if d), key=lambda k: max(map(len, k)))
+        at = 0
+        while at < len(open_pairs):
+            # long words in smaller parts, so that memory stays the same
+            longest = max(map(len, open_pairs[min(at + 4999, len(open_pairs) - 1)]))
+            part = open_pairs[at : at + max(1, min(5000, 250_000 // longest))]
             pairs.update(zip(part, edits([p for p, _ in part], [q for _, q in part]).tolist(), strict=True))
+            at += len(part)
         out = [similarity(p, q, dict(zip([*p, *q], [*wp, *wq], strict=True)), pairs) for p, q, wp, wq in zip(names_a, names_b, b["wa"], b["wb"], strict=True)]
         yield pd.DataFrame({"na": b["na"], "nb": b["nb"], "edits": [o[0] for o in out], "score": [o[1] for o in out], "least": [o[2] for o in out]})
 
@@ -162,8 +253,8 @@ def second_keys(words: Column, w: Column, near: int, right: bool) -> Column:
 
     Two words up to ``near`` edits apart have all but ``near`` letters of their bags in common, and words less alike than by
     half are never accepted, so they share one of the ``near`` + 1 leading letters in any fixed order (prefix filter). An
-    initial meets what it begins; its keys tell the sides apart, so that full words do not meet by their first letters. A name
-    without other words has the empty key.
+    initial meets what it begins; its keys tell the sides apart, so that full words do not meet by their first letters. Two
+    words count as one word too. A name without other words has the empty key.
     """
     at = F.array_position(words, w).cast("int")
     rest = F.filter(words, lambda x, i: i != at - 1)
@@ -173,7 +264,9 @@ def second_keys(words: Column, w: Column, near: int, right: bool) -> Column:
     own, other = ("K", "J") if right else ("J", "K")
     initial = lambda x: F.array(F.concat(F.lit("I"), first(x)), F.concat(F.lit(own), first(x)))
     word = lambda x: F.array_append(lead(x), F.concat(F.lit(other), first(x)))
-    keys = F.array_distinct(F.flatten(F.transform(rest, lambda x: F.when(F.length(x) < 2, initial(x)).otherwise(word(x)))))
+    # two words may be one in the other name
+    twos = F.flatten(F.transform(rest, lambda x, i: F.transform(F.slice(rest, i + 2, F.size(rest)), lambda y: F.concat(x, y))))
+    keys = F.array_distinct(F.flatten(F.transform(F.concat(rest, twos), lambda x: F.when(F.length(x) < 2, initial(x)).otherwise(word(x)))))
     return F.when(F.size(rest) == 0, F.array(F.lit(""))).otherwise(keys)
 
 
@@ -211,7 +304,7 @@ def links(
     met = a.join(b, ["g", "q"]).where((F.col("va") <= F.col("vb")) & (F.abs(F.length("va") - F.length("vb")) <= int(near)))
     least_shared = F.least(F.lit(overlap), F.greatest(F.lit(1), F.least(F.size("qa"), F.size("qb")) - 3))
     met = met.where((letters_apart(F.col("ba"), F.col("bb")) <= int(near)) & (F.size(F.array_intersect("qa", "qb")) >= least_shared))
-    met = met.where((F.length("va") <= LONGEST) | (F.col("va") == F.col("vb"))).select("g", "va", "vb").distinct()
+    met = met.select("g", "va", "vb").distinct()
     close = met.where(F.levenshtein("va", "vb", int(2 * near)) >= 0)
 
     common = lambda v: asking.where("ask").select("g", F.col("w").alias(v), F.col("common").alias(f"common_{v}")).distinct()
@@ -233,7 +326,10 @@ def links(
     full = full.join(weights.select(F.col("n").alias("nb"), F.col("words").alias("b"), F.col("ws").alias("wb"), F.col("bag").alias("bb")), "nb")
     # what the letters of the whole names already rule out never gets to Python; an initial may stand for any word
     initial = lambda c: F.exists(c, lambda w: F.length(w) < 2)
-    full = full.where(initial("a") | initial("b") | (letters_apart(F.col("ba"), F.col("bb")) <= int(near)))
+    # of names of unequal numbers of words, the one with fewer has all but so many letters in the other
+    fewer = F.when(F.size("a") < F.size("b"), F.size("ba")).otherwise(F.size("bb"))
+    apart = F.when(F.size("a") == F.size("b"), letters_apart(F.col("ba"), F.col("bb"))).otherwise(fewer - F.size(F.array_intersect("ba", "bb")))
+    full = full.where(initial("a") | initial("b") | (apart <= int(near)))
     checked = full.select("na", "nb", "a", "b", "wa", "wb").mapInPandas(_verified, "na long, nb long, edits double, score double, least double")
     good = checked.where((F.col("edits") <= near) & (F.col("score") >= score) & (F.col("least") >= least))
 
