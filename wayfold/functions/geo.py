@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean radius of the earth in metres.
@@ -22,11 +24,44 @@ def xyz(lat_e7: Column, lng_e7: Column) -> list[Column]:
     return [RADIUS * F.cos(lat) * F.cos(lng), RADIUS * F.cos(lat) * F.sin(lng), RADIUS * F.sin(lat)]
 
 
-def cell(v: Column, side: float) -> Column:
-    return F.floor(v / side).cast("long")
+# A grid on the sphere: bands of latitude of equal height, each cut into so many cells that they are about as wide as high.
+# A cell is one number, so it travels as 8 bytes, and cells have the same size at the equator, at 180 degrees and at the poles.
+
+
+def _across(band: Column, height: float) -> Column:
+    return F.greatest(F.lit(1), F.floor(360 / height * F.cos(F.radians((band + 0.5) * height - 90)))).cast("long")
+
+
+def _numbered(band: Column, at: Column) -> Column:
+    return band * F.lit(1 << 32) + at
+
+
+def grid_cell(lat: Column, lng: Column, side: float) -> Column:
+    """Cell of a place in degrees; cells are about ``side`` metres long."""
+    height = math.degrees(side / RADIUS)
+    band = F.floor((lat + 90) / height).cast("long")
+    n = _across(band, height)
+    return _numbered(band, F.pmod(F.floor((lng + 180) * n / 360).cast("long"), n))
+
+
+def with_grid_cells(df: DataFrame, lat: Column, lng: Column, half_lat: Column, half_lng: Column, side: float, name: str) -> DataFrame:
+    """Rows once for each cell that a box touches, given its middle and half sides in degrees; across 180 degrees too.
+
+    Bands and cells are unrolled in two steps of plain columns, so everything stays in compiled code.
+    """
+    height = math.degrees(side / RADIUS)
+    band = lambda v: F.floor((v + 90) / height).cast("long")
+    at = lambda v: F.floor((v + 180) * F.col("_n") / 360).cast("long")
+    box = df.withColumns({"_y": lat, "_x": lng, "_h": half_lat, "_w": half_lng})
+    banded = box.withColumn("_b", F.explode(F.sequence(band(F.greatest(F.col("_y") - F.col("_h"), F.lit(-90.0))), band(F.least(F.col("_y") + F.col("_h"), F.lit(90.0))))))
+    cut = banded.withColumn("_n", _across(F.col("_b"), height))
+    cut = cut.withColumns({"_i": at(F.col("_x") - F.col("_w")), "_j": at(F.col("_x") + F.col("_w"))})
+    cells = cut.withColumn("_c", F.explode(F.sequence("_i", F.least(F.col("_j"), F.col("_i") + F.col("_n") - 1))))
+    return cells.withColumn(name, _numbered(F.col("_b"), F.pmod("_c", "_n"))).drop("_y", "_x", "_h", "_w", "_b", "_n", "_i", "_j", "_c")
 
 
-def cells_within(low: list[Column], high: list[Column], side: float) -> Column:
-    """Array of the cells (x, y, z) of a cubic grid that a box touches."""
-    ax = [F.sequence(cell(a, side), cell(b, side)) for a, b in zip(low, high, strict=True)]
-    return F.flatten(F.transform(ax[0], lambda x: F.flatten(F.transform(ax[1], lambda y: F.transform(ax[2], lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
+def reach(lat: Column, metres: Column) -> tuple[Column, Column]:
+    """Half sides in degrees of the box around all places within so many metres; around a pole the box goes round it."""
+    d = F.degrees(metres / RADIUS) * (1 + 1e-9) + 1e-9
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(d)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))))) + 1e-9
+    return d, F.when(F.abs(lat) + d >= 90, F.lit(180.0)).otherwise(wide)

@@ -1,8 +1,9 @@
-"""Points near other points and near lines, as equi-joins on the cells of a grid in space.
+"""Points near other points and near lines, as equi-joins on the cells of a grid on the sphere.
 
-The grid is cubic and lies over positions in space, not over degrees, so cells have the same size everywhere. A probe visits
-the cells that its reach touches; each point lies in one cell. Candidates are tested exactly on the chord. Dense cells
-become large join partitions, which adaptive execution splits; their near pairs are the result itself.
+Each point lies in one cell of a few times the distance asked for; the other side visits the cells its reach touches, about
+two for a point. Only cell, key and e7 numbers are shuffled; places in space are computed after the join, for pairs that
+the latitude has not ruled out. Both joins are sort-merge joins, whatever the planner thinks of their sizes: nothing that
+grows is broadcast, and cells that are much larger than others are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -12,22 +13,24 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import RADIUS, cell, cells_within, xyz
+from ..functions.geo import RADIUS, grid_cell, reach, with_grid_cells, xyz
 
+#: Sides of the cells in multiples of the distance: larger cells are visited less often and hold more candidates.
+POINT_CELL, LINE_CELL = 4.0, 10.0
 
-def _chord(metres: float) -> float:
-    return 2 * RADIUS * math.sin(min(metres / (2 * RADIUS), math.pi / 2))
 
+def _sine_squared(metres: float) -> float:
+    return math.sin(min(metres / (2 * RADIUS), math.pi / 2)) ** 2
 
-def _square(a: list[Column], b: list[Column]) -> Column:
-    d = [p - q for p, q in zip(a, b, strict=True)]
-    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+def _degrees(e7: Column) -> Column:
+    return e7 / 1e7
 
 
 def _placed(points: DataFrame, key: str) -> DataFrame:
-    """Distinct places of each key; rows without key or coordinates have none."""
-    p = points.where(F.col("lat_e7").isNotNull() & F.col("lng_e7").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), "lat_e7", "lng_e7").distinct()
-    return p.select("k", *[c.alias(n) for c, n in zip(xyz(F.col("lat_e7"), F.col("lng_e7")), "xyz", strict=True)])
+    """Distinct places (k, y, x) of each key; rows without key or coordinates have none."""
+    known = F.col("lat_e7").isNotNull() & F.col("lng_e7").isNotNull() & F.col(key).isNotNull()
+    return points.where(known).select(F.col(key).alias("k"), F.col("lat_e7").alias("y"), F.col("lng_e7").alias("x")).distinct()
 
 
 def near_points(points: DataFrame, key: str, metres: float) -> DataFrame:
@@ -35,48 +38,80 @@ def near_points(points: DataFrame, key: str, metres: float) -> DataFrame:
 
     Repeated rows count once; a key with several places is near if one of them is. Input needs lat_e7 and lng_e7.
     """
-    reach = _chord(metres)
-    side = 2 * reach
+    side = POINT_CELL * metres
     p = _placed(points, key)
-    cols = [F.col(c) for c in "xyz"]
-    at = p.select("k", "x", "y", "z", F.struct(*[cell(c, side).alias(n) for c, n in zip(cols, "xyz", strict=True)]).alias("c"))
-    around = p.select(F.col("k").alias("k2"), *[F.col(c).alias(f"{c}2") for c in "xyz"], F.explode(cells_within([c - reach for c in cols], [c + reach for c in cols], side)).alias("c"))
-    pairs = at.join(around, "c").where((F.col("k") < F.col("k2")) & (_square(cols, [F.col(f"{c}2") for c in "xyz"]) < reach * reach))
+    lat, lng = _degrees(F.col("y")), _degrees(F.col("x"))
+    at = p.select("k", "y", "x", grid_cell(lat, lng, side).alias("c"))
+    around = with_grid_cells(p.select(F.col("k").alias("k2"), F.col("y").alias("y2"), F.col("x").alias("x2"), lat.alias("lat")), F.col("lat"), _degrees(F.col("x2")), *reach(F.col("lat"), F.lit(metres)), side, "c").drop("lat")
+    close = F.abs(F.col("y") - F.col("y2")) <= math.ceil(math.degrees(metres / RADIUS) * 1e7)
+    apart = F.pow(F.sin(F.radians((F.col("y") - F.col("y2")) / 2e7)), 2) + F.cos(F.radians(_degrees(F.col("y")))) * F.cos(F.radians(_degrees(F.col("y2")))) * F.pow(F.sin(F.radians((F.col("x").cast("long") - F.col("x2")) / 2e7)), 2)
+    pairs = at.hint("merge").join(around.hint("merge"), "c").where((F.col("k") < F.col("k2")) & close & (apart < _sine_squared(metres)))
     return pairs.select(F.col("k").alias("a_id"), F.col("k2").alias("b_id")).distinct()
 
 
-def line_pieces(lines: DataFrame, key: str, longest: float) -> DataFrame:
-    """Lines (array of corners with lat_e7, lng_e7) cut into straight pieces (k, x1..z1, x2..z2) of at most ``longest`` metres.
+def _scaled(v: list[Column], f: Column | float) -> list[Column]:
+    return [c * f for c in v]
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def legs(lines: DataFrame, key: str) -> DataFrame:
+    """Lines (array of corners with lat_e7, lng_e7) as legs (k2, y1, x1, y2, x2) between neighbouring corners.
 
-    Corners without coordinates are passed over; a line of one corner is a piece without length; others have none.
+    Corners without coordinates are passed over; a line of one corner is a leg without length; others have none.
     """
     known = F.filter("line", lambda p: p["lat_e7"].isNotNull() & p["lng_e7"].isNotNull())
-    spots = F.transform(known, lambda p: F.struct(*[c.alias(n) for c, n in zip(xyz(p["lat_e7"], p["lng_e7"]), "xyz", strict=True)]))
-    rows = lines.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), "line").distinct().select("k", spots.alias("s")).where(F.size("s") > 0)
+    rows = lines.where(F.col(key).isNotNull()).select(F.col(key).alias("k2"), known.alias("s")).where(F.size("s") > 0)
     n = F.size("s")
-    legs = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(F.col("s")[i].alias("a"), F.col("s")[F.least(i + 1, n - 1)].alias("b")))
-    leg = rows.select("k", F.explode(legs).alias("l")).select("k", "l.a", "l.b")
-    length = F.sqrt(_square([F.col(f"a.{c}") for c in "xyz"], [F.col(f"b.{c}") for c in "xyz"]))
-    parts = leg.withColumn("m", F.greatest(F.ceil(length / longest), F.lit(1)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    between = lambda c, t: F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * t
-    return parts.select("k", *[between(c, (F.col("i") + d) / F.col("m")).alias(f"{c}{d + 1}") for d in (0, 1) for c in "xyz"])
+    each = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(F.col("s")[i].alias("a"), F.col("s")[F.least(i + 1, n - 1)].alias("b")))
+    return rows.select("k2", F.explode(each).alias("l")).select("k2", F.col("l.a.lat_e7").alias("y1"), F.col("l.a.lng_e7").alias("x1"), F.col("l.b.lat_e7").alias("y2"), F.col("l.b.lng_e7").alias("x2")).distinct()
+
+
+def _with_leg_cells(legs: DataFrame, metres: float, side: float) -> DataFrame:
+    """Legs once for each cell within reach; they are covered by disks around the middles of pieces of at most ``side`` metres."""
+    a, b = ([F.col(f"{v}{c}") for c in "xyz"] for v in "ab")
+    placed = legs.withColumns({f"{v}{c}": e for v, y, x in (("a", "y1", "x1"), ("b", "y2", "x2")) for c, e in zip("xyz", xyz(F.col(y), F.col(x)), strict=True)})
+    measured = placed.withColumn("size", F.sqrt(_dot(*[[q - p for p, q in zip(a, b, strict=True)]] * 2))).withColumn("many", F.greatest(F.ceil(F.col("size") / side), F.lit(1)).cast("int"))
+    piece = measured.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    piece = piece.withColumns({f"m{c}": p + (q - p) * ((F.col("i") + 0.5) / F.col("many")) for c, p, q in zip("xyz", a, b, strict=True)})
+    mid = [F.col(f"m{c}") for c in "xyz"]
+    piece = piece.withColumn("far", F.greatest(F.sqrt(_dot(mid, mid)), F.lit(1.0)))
+    piece = piece.withColumns({"lat": F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mid[2] / F.col("far"))))), "lng": F.degrees(F.atan2(mid[1], mid[0]))})
+    # a chord's pieces are longer on the ground, the more so the deeper it lies below it
+    piece = piece.withColumn("r", metres + F.col("size") / F.col("many") / 2 * (RADIUS / F.col("far")) * 1.01)
+    return with_grid_cells(piece, F.col("lat"), F.col("lng"), *reach(F.col("lat"), F.col("r")), side, "c").select(*legs.columns, "c")
+
+
+def leg_chord(p: list[Column], a: list[Column], b: list[Column]) -> Column:
+    """Chord, squared and for a sphere of radius 1, of unit vector ``p`` to the arc from ``a`` to ``b``."""
+    n = _cross(a, b)
+    over = (_dot(_cross(n, a), p) >= 0) & (_dot(_cross(b, n), p) >= 0) & (_dot(n, n) > 0)
+    sine = F.least(F.lit(1.0), F.pow(_dot(n, p), 2) / F.greatest(_dot(n, n), F.lit(1e-300)))
+    to = lambda q: _dot(*[[u - v for u, v in zip(p, q, strict=True)]] * 2)
+    # chord squared of an angle with that sine: 2 - 2 cos
+    return F.when(over, 2 * sine / (1 + F.sqrt(1 - sine))).otherwise(F.least(to(a), to(b)))
 
 
 def near_lines(points: DataFrame, key: str, lines: DataFrame, line_key: str, metres: float) -> DataFrame:
-    """Pairs (a_id, b_id) of a point's key and the key of a line less than ``metres`` away.
+    """Pairs (a_id, b_id) of a point's key and the key of a line less than ``metres`` away on the ground.
 
-    A piece between two corners is taken as straight; for pieces under some kilometres this is the ground distance.
+    Lines run along great circles between their corners, the short way round.
     """
-    reach = _chord(metres)
-    side = 3 * reach
-    cols = [F.col(c) for c in "xyz"]
-    p = _placed(points, key).withColumn("c", F.struct(*[cell(c, side).alias(n) for c, n in zip(cols, "xyz", strict=True)]))
-    q = line_pieces(lines, line_key, side).withColumnRenamed("k", "k2")
-    a, b = [F.col(f"{c}1") for c in "xyz"], [F.col(f"{c}2") for c in "xyz"]
-    q = q.withColumn("c", F.explode(cells_within([F.least(u, v) - reach for u, v in zip(a, b, strict=True)], [F.greatest(u, v) + reach for u, v in zip(a, b, strict=True)], side)))
-    dot = sum((c - u) * (v - u) for c, u, v in zip(cols, a, b, strict=True))
-    length = _square(b, a)
-    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / length))).otherwise(0.0)
-    foot = [u + (v - u) * F.col("t") for u, v in zip(a, b, strict=True)]
-    hits = p.join(q, "c").withColumn("t", t).where(_square(cols, foot) < reach * reach)
+    side = LINE_CELL * metres
+    lat, lng = _degrees(F.col("y")), _degrees(F.col("x"))
+    p = _placed(points, key).select("k", "y", "x", grid_cell(lat, lng, side).alias("c"))
+    unit = lambda y, x: _scaled(xyz(F.col(y), F.col(x)), 1 / RADIUS)
+    q = _with_leg_cells(legs(lines, line_key), metres, side)
+    met = p.hint("merge").join(q.hint("merge"), "c")
+    for names, vector in (("px py pz", unit("y", "x")), ("ax ay az", unit("y1", "x1")), ("bx by bz", unit("y2", "x2"))):
+        for n, v in zip(names.split(), vector, strict=True):
+            met = met.withColumn(n, v)
+    vectors = [[F.col(f"{v}{c}") for c in "xyz"] for v in "pab"]
+    hits = met.where(leg_chord(*vectors) < 4 * _sine_squared(metres))
     return hits.select(F.col("k").alias("a_id"), F.col("k2").alias("b_id")).distinct()

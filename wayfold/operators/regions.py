@@ -11,6 +11,7 @@ region's border counts as inside.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from ..functions.lineage import kept
 
 Point = tuple[int, int]
 
+#: Points that go down the tree together; 24 bytes each.
+POINTS_AT_ONCE = 100_000
 TREE_SAMPLE = 200_000
 LEAF = 8
 #: 48 bytes each: the broadcast is at most 48 MB.
@@ -52,28 +55,45 @@ def tidy(ring: list[Point | None]) -> list[Point]:
     return out if len(out) >= 3 and double_area(out) else []
 
 
-def _blocks(a: Point, b: Point, c: Point, d: Point) -> bool:
-    """Whether edge c-d is in the way of the bridge a-b: they meet elsewhere than at a shared end."""
-    if c in (a, b) or d in (a, b):
-        other = d if c in (a, b) else c
-        return other not in (a, b) and _cross(a, b, other) == 0 and min(a, b) < other < max(a, b)
-    s = [_cross(a, b, c), _cross(a, b, d), _cross(c, d, a), _cross(c, d, b)]
-    if (s[0] > 0) != (s[1] > 0) and (s[2] > 0) != (s[3] > 0) and all(s):
-        return True
-    on = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
-    return s[0] == 0 and on(a, b, c) or s[1] == 0 and on(a, b, d) or s[2] == 0 and on(c, d, a) or s[3] == 0 and on(c, d, b)
+def _sides(ox, oy, ax, ay, bx, by) -> np.ndarray:  # noqa: ANN001
+    """1, 0 or -1 as b lies left of, on or right of the way from o over a. Products stay below 2^63, their difference may not."""
+    left, right = (ax - ox) * (by - oy), (ay - oy) * (bx - ox)
+    return (left > right).astype(np.int8) - (left < right)
+
+
+def _blocked(a: Point, b: Point, edges: np.ndarray) -> bool:
+    """Whether an edge (x1, y1, x2, y2) is in the way of the bridge a-b: they meet elsewhere than at a shared end."""
+    (ax, ay), (bx, by) = a, b
+    edges = edges[(np.minimum(edges[:, 0], edges[:, 2]) <= max(ax, bx)) & (np.maximum(edges[:, 0], edges[:, 2]) >= min(ax, bx))]
+    cx, cy, dx, dy = edges.T
+    low_x, high_x, low_y, high_y = min(ax, bx), max(ax, bx), min(ay, by), max(ay, by)
+    is_end = lambda x, y: (x == ax) & (y == ay) | (x == bx) & (y == by)
+    on_bridge = lambda side, x, y: (side == 0) & (low_x <= x) & (x <= high_x) & (low_y <= y) & (y <= high_y)
+    on_edge = lambda side, x, y: (side == 0) & (np.minimum(cx, dx) <= x) & (x <= np.maximum(cx, dx)) & (np.minimum(cy, dy) <= y) & (y <= np.maximum(cy, dy))
+    c_end, d_end = is_end(cx, cy), is_end(dx, dy)
+    c, d = _sides(ax, ay, bx, by, cx, cy), _sides(ax, ay, bx, by, dx, dy)
+    e, f = _sides(cx, cy, dx, dy, ax, ay), _sides(cx, cy, dx, dy, bx, by)
+    crossing = (c * d < 0) & (e * f < 0) | on_bridge(c, cx, cy) | on_bridge(d, dx, dy) | on_edge(e, ax, ay) | on_edge(f, bx, by)
+    # an edge that shares an end is only in the way if its other end lies on the bridge
+    along = c_end & ~d_end & on_bridge(d, dx, dy) | d_end & ~c_end & on_bridge(c, cx, cy)
+    return bool(np.where(c_end | d_end, along, crossing).any())
+
+
+def _edges(ring: list[Point]) -> np.ndarray:
+    r = np.array(ring, np.int64)
+    return np.hstack((r, np.roll(r, -1, 0)))
 
 
 def bridged(outer: list[Point], holes: list[list[Point]]) -> list[Point]:
     """One ring (counter-clockwise) in which each hole hangs on a pair of coinciding edges."""
     ring = outer if double_area(outer) > 0 else outer[::-1]
     waiting = sorted((h if double_area(h) < 0 else h[::-1] for h in holes), key=lambda h: max(h), reverse=True)
-    for n, hole in enumerate(waiting):
+    edges = np.vstack([_edges(r) for r in (ring, *waiting)]) if waiting else None
+    for hole in waiting:
         j = max(range(len(hole)), key=lambda i: hole[i])
         m = hole[j]
-        rings = [ring, *waiting[n:]]
-        edges = [(p, q) for r in rings for p, q in zip(r, r[1:] + r[:1])]
-        by_distance = sorted(range(len(ring)), key=lambda i: ((ring[i][0] - m[0]) ** 2 + (ring[i][1] - m[1]) ** 2, i))
+        corners = np.array(ring, np.float64) - m
+        by_distance = np.argsort((corners * corners).sum(1), kind="stable").tolist()
 
         def opens(i: int, ring: list[Point] = ring, m: Point = m) -> bool:
             """Whether the bridge leaves corner i into the inside, which matters where corners coincide."""
@@ -82,34 +102,115 @@ def bridged(outer: list[Point], holes: list[list[Point]]) -> list[Point]:
                 return _cross(a, p, m) >= 0 and _cross(p, b, m) >= 0
             return not (_cross(a, p, m) < 0 and _cross(p, b, m) < 0)
 
-        at = next((i for i in by_distance if opens(i) and not any(_blocks(m, ring[i], p, q) for p, q in edges)), by_distance[0])
+        at = next((i for i in by_distance if opens(i) and not _blocked(m, ring[i], edges)), by_distance[0])
+        edges = np.vstack((edges, [[*m, *ring[at]]]))
         ring = ring[: at + 1] + hole[j:] + hole[: j + 1] + ring[at:]
     return ring
 
 
-def ear_clip(ring: list[Point]) -> list[tuple[Point, Point, Point]]:
-    """Triangles of a counter-clockwise ring. A ring that crosses itself is clipped at its most convex corners."""
-    left, out = list(ring), []
-    while len(left) > 2:
-        n = len(left)
-        turn = [_cross(left[i - 1], left[i], left[(i + 1) % n]) for i in range(n)]
-        flat = next((i for i in range(n) if turn[i] == 0), None)
-        if flat is not None:
-            del left[flat]
-            continue
-        blunt = [left[i] for i in range(n) if turn[i] < 0]
+class _Ring:
+    """A ring under clipping: neighbours as a linked list, and the corners that can be in the way of an ear, ordered by x.
 
-        def is_ear(i: int, least: int, left: list[Point] = left, n: int = n, blunt: list[Point] = blunt) -> bool:
-            a, b, c = left[i - 1], left[i], left[(i + 1) % n]
-            return not any(p not in (a, b, c) and min(_cross(a, b, p), _cross(b, c, p), _cross(c, a, p)) >= least for p in blunt)
+    A corner that is no ear waits for the corner found in its way; it is looked at again when that one is gone or one of its
+    own neighbours is. So the whole ring is never searched again, and only corners between an ear's least and greatest x are.
+    """
 
-        convex = sorted((i for i in range(n) if turn[i] > 0), key=lambda i: turn[i])
-        # a corner that only touches the ear's edge is in the way of an ear as long as there is another
-        ear = next((i for least in (0, 1) for i in convex if is_ear(i, least)), convex[-1] if convex else 0)
-        if turn[ear] > 0:
-            out.append((left[ear - 1], left[ear], left[(ear + 1) % n]))
-        del left[ear]
-    return out
+    def __init__(self, ring: list[Point]):
+        self.ring, n = ring, len(ring)
+        self.before, self.after = [n - 1, *range(n - 1)], [*range(1, n), 0]
+        self.here = [True] * n
+        self.left = n
+        self.turn = [_cross(ring[i - 1], ring[i], ring[(i + 1) % n]) for i in range(n)]
+        x = np.array([p[0] for p in ring], np.int64)
+        self.order = np.argsort(x, kind="stable")
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        self.xs, self.ys = x[self.order], np.array([p[1] for p in ring], np.int64)[self.order]
+        # only a corner that does not bend to the left can lie in an ear; bends may become such only where a ring crosses itself
+        self.blunt = np.array([t < 0 for t in self.turn], bool)[self.order]
+        # two ways of being in the way: touching the ear's edge counts (0), or only lying inside (1)
+        self.waiting: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+        self.todo: tuple[deque, deque] = (deque(range(n)), deque())
+
+    def in_the_way(self, i: int, inside_only: bool) -> int:
+        """A corner in the way of the ear at corner i, or -1."""
+        a, b, c = self.ring[self.before[i]], self.ring[i], self.ring[self.after[i]]
+        low = int(np.searchsorted(self.xs, min(a[0], b[0], c[0])))
+        high = int(np.searchsorted(self.xs, max(a[0], b[0], c[0]), "right"))
+        near = low + np.flatnonzero(self.blunt[low:high])
+        x, y = self.xs[near], self.ys[near]
+        near = near[(y >= min(a[1], b[1], c[1])) & (y <= max(a[1], b[1], c[1]))]
+        if not len(near):
+            return -1
+        x, y = self.xs[near], self.ys[near]
+        least = 1 if inside_only else 0
+        ok = np.ones(len(near), bool)
+        for (px, py), (qx, qy) in ((a, b), (b, c), (c, a)):
+            ok &= (_sides(px, py, qx, qy, x, y) >= least) & ~((x == px) & (y == py))
+        found = near[ok]
+        return int(self.order[found[0]]) if len(found) else -1
+
+    def freed(self, i: int) -> None:
+        for level in (0, 1):
+            self.todo[level].extend(self.waiting[level].pop(i, ()))
+
+    def cut(self, i: int) -> None:
+        """Take corner i out; neighbours that become straight go too."""
+        go = [i]
+        while go and self.left > 2:
+            i = go.pop()
+            if not self.here[i]:
+                continue
+            self.here[i] = False
+            self.left -= 1
+            a, c = self.before[i], self.after[i]
+            self.after[a], self.before[c] = c, a
+            self.blunt[self.place[i]] = False
+            self.freed(i)
+            for j in (a, c):
+                t = _cross(self.ring[self.before[j]], self.ring[j], self.ring[self.after[j]])
+                self.turn[j] = t
+                blunt = t < 0
+                if self.blunt[self.place[j]] and not blunt:
+                    self.freed(j)
+                self.blunt[self.place[j]] = blunt
+                if t == 0:
+                    go.append(j)
+                else:
+                    self.todo[0].append(j)
+
+    def ears(self) -> Iterator[tuple[Point, Point, Point]]:
+        for i in range(len(self.ring)):
+            if self.here[i] and self.turn[i] == 0 and self.left > 2:
+                self.cut(i)
+        seek = 0
+        while self.left > 2:
+            level = 0 if self.todo[0] else 1
+            if self.todo[level]:
+                i = self.todo[level].popleft()
+                if not self.here[i] or self.turn[i] <= 0:
+                    continue
+                wall = self.in_the_way(i, bool(level))
+                if wall >= 0:
+                    self.waiting[level].setdefault(wall, []).append(i)
+                    if not level:
+                        self.todo[1].append(i)
+                    continue
+            else:  # a ring that crosses itself: any corner that bends to the left, if there is one
+                seen = 0
+                while seen < len(self.ring) and not (self.here[seek] and self.turn[seek] > 0):
+                    seek, seen = (seek + 1) % len(self.ring), seen + 1
+                i = seek
+                if not self.here[i]:
+                    i = next(k for k in range(len(self.ring)) if self.here[k])
+            if self.turn[i] > 0:
+                yield self.ring[self.before[i]], self.ring[i], self.ring[self.after[i]]
+            self.cut(i)
+
+
+def ear_clip(ring: list[Point]) -> list[tuple[Point, Point, Point]]:
+    """Triangles of a counter-clockwise ring. A ring that crosses itself is clipped at corners that bend to the left."""
+    return list(_Ring(ring).ears()) if len(ring) > 2 else []
 
 
 def triangulate(outer: list[Point | None], inners: list[list[Point | None]] | None = None) -> list[tuple[Point, Point, Point]]:
@@ -227,6 +328,19 @@ def _inside(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ok
 
 
+def _joined(batches: Iterator[pd.DataFrame], rows: int = POINTS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """Batches put together to about ``rows`` rows: each goes down the whole tree, which costs the same for few points."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def _box() -> list[Column]:
     return [F.least("x1", "x2", "x3"), F.least("y1", "y2", "y3"), F.greatest("x1", "x2", "x3"), F.greatest("y1", "y2", "y3")]
 
@@ -267,7 +381,7 @@ def containing_regions(points: DataFrame, key: str, areas: DataFrame, area_key:
 
         def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t, corners, area, ends = sent.value
-            for b in batches:
+            for b in _joined(batches):
                 k, x, y = (b[c].to_numpy(np.int64) for c in ("k", "x", "y"))
                 ks, rs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for node, at in t.visits(x, y):
@@ -289,6 +403,6 @@ def containing_regions(points: DataFrame, key: str, areas: DataFrame, area_key:
             for node, at in routes.value.visits(x, y):
                 yield b.iloc[at].assign(leaf=node)
 
-    hits = p.mapInPandas(route, "k long, x long, y long, leaf long").join(placed, "leaf")
+    hits = p.mapInPandas(route, "k long, x long, y long, leaf long").hint("merge").join(placed.hint("merge"), "leaf")
     side = lambda a, b: (F.col(f"x{b}") - F.col(f"x{a}")) * (F.col("y") - F.col(f"y{a}")) >= (F.col(f"y{b}") - F.col(f"y{a}")) * (F.col("x") - F.col(f"x{a}"))
     return hits.where(side(1, 2) & side(2, 3) & side(3, 1)).select(F.col("k").alias("a_id"), F.col("area").alias("b_id")).distinct()
