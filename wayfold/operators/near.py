@@ -98,6 +98,21 @@ def leg_chord(p: list[Column], a: list[Column], b: list[Column]) -> Column:
     return F.when(over, 2 * sine / (1 + F.sqrt(1 - sine))).otherwise(F.least(to(a), to(b)))
 
 
+def _may_be_near(metres: float) -> Column:
+    """False only for points that are certainly too far from a leg: a test in the plane, with a margin.
+
+    It judges legs within a hundredth of a degree, away from poles and from 180 degrees; there the plane is off by a metre
+    at most. All others go on to the exact test.
+    """
+    whole = lambda c: F.col(c).cast("double")
+    du, dv = (whole("x2") - whole("x1")) * F.col("shrink"), whole("y2") - whole("y1")
+    u, v = (whole("x1") - whole("x")) * F.col("shrink"), whole("y1") - whole("y")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(u * du + v * dv) / F.greatest(du * du + dv * dv, F.lit(1e-9))))
+    limit = (1.1 * metres + 1) * math.degrees(1 / RADIUS) * 1e7
+    short = (F.abs(dv) < 100_000) & (F.abs(whole("x2") - whole("x1")) < 100_000) & (F.abs(whole("x1") - whole("x")) < 10_000_000) & (F.abs(whole("y")) < 800_000_000)
+    return ~short | ((u + t * du) * (u + t * du) + (v + t * dv) * (v + t * dv) < limit * limit)
+
+
 def near_lines(points: DataFrame, key: str, lines: DataFrame, line_key: str, metres: float) -> DataFrame:
     """Pairs (a_id, b_id) of a point's key and the key of a line less than ``metres`` away on the ground.
 
@@ -105,13 +120,12 @@ def near_lines(points: DataFrame, key: str, lines: DataFrame, line_key: str, met
     """
     side = LINE_CELL * metres
     lat, lng = _degrees(F.col("y")), _degrees(F.col("x"))
-    p = _placed(points, key).select("k", "y", "x", grid_cell(lat, lng, side).alias("c"))
-    unit = lambda y, x: _scaled(xyz(F.col(y), F.col(x)), 1 / RADIUS)
+    p = _placed(points, key).select("k", "y", "x", F.cos(F.radians(lat)).alias("shrink"), grid_cell(lat, lng, side).alias("c"))
     q = _with_leg_cells(legs(lines, line_key), metres, side)
-    met = p.hint("merge").join(q.hint("merge"), "c")
-    for names, vector in (("px py pz", unit("y", "x")), ("ax ay az", unit("y1", "x1")), ("bx by bz", unit("y2", "x2"))):
-        for n, v in zip(names.split(), vector, strict=True):
-            met = met.withColumn(n, v)
-    vectors = [[F.col(f"{v}{c}") for c in "xyz"] for v in "pab"]
-    hits = met.where(leg_chord(*vectors) < 4 * _sine_squared(metres))
-    return hits.select(F.col("k").alias("a_id"), F.col("k2").alias("b_id")).distinct()
+    met = p.hint("merge").join(q.hint("merge"), "c").where(_may_be_near(metres))
+    # an aggregation keeps the planner from writing these columns out into the filter, once for every time they are used
+    for v, (y, x) in (("p", ("y", "x")), ("a", ("y1", "x1")), ("b", ("y2", "x2"))):
+        met = met.withColumns({f"{v}{c}": e for c, e in zip("xyz", _scaled(xyz(F.col(y), F.col(x)), 1 / RADIUS), strict=True)})
+    chord = leg_chord(*[[F.col(f"{v}{c}") for c in "xyz"] for v in "pab"])
+    least = met.groupBy("k", "k2").agg(F.min(chord).alias("chord")).where(F.col("chord") < 4 * _sine_squared(metres))
+    return least.select(F.col("k").alias("a_id"), F.col("k2").alias("b_id"))
