@@ -53,13 +53,14 @@ def match_counts(asked: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(asked, "bigram").groupBy("query_id", "n_in", "string_id").agg(F.count(F.lit(1)).alias("matches"))
 
 
-def candidates(queries: DataFrame, dictionary: DataFrame, index: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
-    """(query_id, string_id, value, norm, cosine, rank): the ``most`` strings of best cosine. Queries under 3 bytes have none."""
+def candidates(queries: DataFrame, dictionary: DataFrame, index: DataFrame, most: int | None = MOST_CANDIDATES) -> DataFrame:
+    """(query_id, string_id, value, norm, cosine, rank): the ``most`` strings of best cosine, or all. Queries under 3 bytes have none."""
     counts = match_counts(asked_bigrams(queries.where(F.octet_length("text") >= 3)), index)
     cosine = S.cosine_col(F.col("matches"), F.col("n_bigrams"), F.col("n_in"))
     close = counts.join(dictionary, "string_id").where(F.col("matches") >= S.least_matches_col(F.col("n_in"))).withColumn("cosine", cosine).where(F.col("cosine") >= S.MIN_COSINE)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "string_id"))
-    return close.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "string_id", "value", "norm", "cosine", "rank")
+    ranked = close.withColumn("rank", rank)
+    return (ranked if most is None else ranked.where(F.col("rank") <= most)).select("query_id", "string_id", "value", "norm", "cosine", "rank")
 
 
 def postings(dictionary: DataFrame, located: DataFrame) -> DataFrame:
