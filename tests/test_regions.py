@@ -81,3 +81,23 @@ def test_near_lines(spark):
     df = spark.createDataFrame([(i, None if p is None else [{"lat_e7": a, "lng_e7": b} for a, b in p], 0) for i, p in lines + lines[:1]], "sid long, line array<struct<lat_e7:int,lng_e7:int>>, k int")
     pts = spark.createDataFrame([(10, 500001700, 80050000), (11, 500001900, 80050000), (12, 500000000, 80102700), (13, 500000000, 80103000), (14, 500000100, -1799999999), (15, 500010000, 80050000)], "hid long, lat_e7 int, lng_e7 int")
     assert {tuple(r) for r in near_lines(pts, "hid", df, "sid", 20.0).collect()} == {(10, 1), (12, 1), (14, 2), (15, 3)}
+
+
+def test_reverse_at_poles_and_across_180(spark):
+    from wayfold.operators.reverse import nearest_lines, nearest_points
+
+    pts = spark.createDataFrame([(1, 90.0, 0.0), (2, 89.99999, 10.0), (3, 0.0, 180.0), (4, 10.0, -179.999), (5, None, 1.0)], "point_id long, lat double, lng double")
+    things = spark.createDataFrame([(10, 89.9999, -120.0), (11, 0.0, -179.999), (12, 10.0, 179.9995), (13, 45.0, 0.0)], "entity_id long, lat double, lng double")
+    assert {(r.point_id, r.entity_id) for r in nearest_points(pts, things).collect()} == {(1, 10), (2, 10), (3, 11), (4, 12)}
+    line = lambda *p: [{"lat_e7": int(a * 1e7), "lng_e7": int(b * 1e7)} for a, b in p]
+    lines = spark.createDataFrame([(20, line((89.9999, 0.0), (89.9999, 90.0))), (21, line((0.0, 179.999), (0.0, -179.998)))], "entity_id long, line array<struct<lat_e7:int,lng_e7:int>>")
+    got = {(r.point_id, r.entity_id): r for r in nearest_lines(pts, lines).collect()}
+    assert set(got) == {(1, 20), (2, 20), (3, 21)} and got[3, 21].score < 1e-2 and abs(abs(got[3, 21].lng) - 180) < 1e-6
+
+
+def test_large_and_crossing_rings():
+    rnd = random.Random(5)
+    ring = [(int(4e8 * (1 + 0.1 * rnd.random()) * math.cos(2 * math.pi * i / 20000)), int(4e8 * (1 + 0.1 * rnd.random()) * math.sin(2 * math.pi * i / 20000))) for i in range(20000)]
+    ring = [(int(math.hypot(*p) * math.cos(2 * math.pi * i / 20000)), int(math.hypot(*p) * math.sin(2 * math.pi * i / 20000))) for i, p in enumerate(ring)]
+    assert sum(double_area(list(t)) for t in triangulate(ring)) == abs(double_area(ring))
+    assert 0 < len(triangulate([(rnd.randint(-(10**8), 10**8), rnd.randint(-(10**8), 10**8)) for _ in range(1000)])) < 1000

@@ -57,9 +57,21 @@ def names(tags: Column) -> Column:
     return F.when(tags.isNotNull(), F.concat(*plain, *prefixed)).otherwise(none)
 
 
-def language_index(langs: Column, language: str) -> Column:
-    """-1 for an empty list or a language that is not there, 0 for the default one, else the first position."""
-    return F.when(F.size(langs) == 0, -1).when(F.lit(language) == "default", 0).otherwise(F.array_position(langs, language).cast("int") - 1)
+#: Sorts of map features, as they stand in the numbers below.
+NODE, WAY, RELATION = range(3)
+
+
+def feature_number(osm_id: Column, element: Column) -> Column:
+    """One number for a feature; nodes, ways and relations with the same OSM id keep apart."""
+    return osm_id.cast("long") * 4 + element
+
+
+def osm_id_of(number: Column) -> Column:
+    return F.call_function("shiftright", number, F.lit(2))
+
+
+def element_of(number: Column) -> Column:
+    return F.get(F.array(F.lit("node"), F.lit("way"), F.lit("relation")), number.bitwiseAND(3).cast("int"))
 
 
 def addresses(rows: DataFrame) -> DataFrame:
@@ -96,7 +108,7 @@ def wanted_relations(relations: DataFrame) -> DataFrame:
 
 
 def area_rows(areas: DataFrame) -> DataFrame:
-    """(area_id, sort, names, admin_level, population, timezone, country_code, polygons) of boundary areas.
+    """(area_id, from_way, sort, names, admin_level, population, timezone, country_code, polygons) of boundary areas.
 
     ``sort`` is admin, postal or timezone; one feature may be both admin and postal. Areas without an outline are dropped.
     """
@@ -119,8 +131,8 @@ def area_rows(areas: DataFrame) -> DataFrame:
         kind("postal", postal, only(t["postal_code"]), F.lit(12), F.lit(0), none, none),
     ))
     rows = areas.where((t["timezone"].isNotNull() | t["boundary"].isNotNull()) & F.coalesce(outline, F.lit(False)))
-    out = rows.select(F.col("id").alias("area_id"), F.explode(sorts).alias("a"), "polygons")
-    return out.select("area_id", "a.*", "polygons")
+    out = rows.select(F.col("id").alias("area_id"), "from_way", F.explode(sorts).alias("a"), "polygons")
+    return out.select("area_id", "from_way", "a.*", "polygons")
 
 
 def plain_area_features(areas: DataFrame) -> DataFrame:

@@ -345,14 +345,14 @@ def _box() -> list[Column]:
     return [F.least("x1", "x2", "x3"), F.least("y1", "y2", "y3"), F.greatest("x1", "x2", "x3"), F.greatest("y1", "y2", "y3")]
 
 
-def containing_regions(points: DataFrame, key: str, areas: DataFrame, area_key: str, local: int = LOCAL_TRIANGLES, sample: int = TREE_SAMPLE, leaf: int = LEAF) -> DataFrame:
+def containing_regions(points: DataFrame, key: str, areas: DataFrame, area_key: str, local: int = LOCAL_TRIANGLES, sample: int = TREE_SAMPLE, leaf: int = LEAF, cut: DataFrame | None = None) -> DataFrame:
     """Pairs (a_id, b_id) of a point's key and the key of each area that contains it, each pair once.
 
     Points need lat_e7 and lng_e7; points without key or coordinates are in no area. Borders are straight in the plane of
-    longitude and latitude, holes are respected, areas may overlap.
+    longitude and latitude, holes are respected, areas may overlap. ``cut`` are the triangles of the areas, if they are there.
     """
     spark = points.sparkSession
-    tri = kept(triangles(areas, area_key))
+    tri = kept(triangles(areas, area_key)) if cut is None else cut
     n = tri.count()
     boxed = tri.select(*[c.alias(b) for c, b in zip(_box(), ("a", "b", "c", "d"), strict=True)])
     if n > sample:  # of all triangles an even share; only where the splits fall depends on it
@@ -375,7 +375,7 @@ def containing_regions(points: DataFrame, key: str, areas: DataFrame, area_key:
         all_of = placed.toPandas().sort_values("leaf", kind="stable")  # at most LOCAL_TRIANGLES
         corners, area, at = all_of[_CORNERS].to_numpy(np.int64), all_of["area"].to_numpy(np.int64), all_of["leaf"].to_numpy(np.int64)
         found, first = np.unique(at, return_index=True)
-        ends = dict(zip(found.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True), strict=True))
+        ends = dict(zip(found.tolist(), zip(first.tolist(), np.append(first, len(at))[1:].tolist(), strict=True), strict=True))
         leaf_boxes = {i: (corners[a:b, ::2].min(), corners[a:b, 1::2].min(), corners[a:b, ::2].max(), corners[a:b, 1::2].max()) for i, (a, b) in ends.items()}
         sent = spark.sparkContext.broadcast((tree.with_boxes(leaf_boxes), corners, area, ends))
 
