@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-MODULES = [importlib.import_module(f"wayfold.plans.{m}") for m in ("text", "search_space", "search", "features")]
+MODULES = [importlib.import_module(f"wayfold.plans.{m}") for m in ("values", "places", "text", "search_space", "search", "features")]
 CASES = [(n, m) for m in MODULES for n in m.SQL]
 
 

@@ -119,7 +119,7 @@ def area_rows(areas: DataFrame) -> DataFrame:
     admin = ~zone & t["admin_level"].isNotNull() & t["name"].isNotNull() & (t["boundary"].isNull() | (t["boundary"] == "administrative")) & level.between(2, 11)
     postal = ~zone & t["postal_code"].isNotNull()
     only = lambda v: F.array(F.struct(v.alias("name"), F.lit("default").alias("lang")))
-    pop = F.coalesce(F.expr("try_cast(regexp_extract(tags['population'], '(\\\\d[\\\\d. ]*)', 1) AS bigint)"), F.lit(0))
+    pop = F.coalesce(F.expr("try_cast(regexp_replace(regexp_extract(tags['population'], '(\\\\d[\\\\d. ]*)', 1), '[. ]', '') AS bigint)"), F.lit(0))
     none = F.lit(None).cast("string")
     def kind(sort: str, test: Column, shown: Column, at: Column, people: Column, tz: Column, cc: Column) -> Column:
         return F.when(test, F.struct(F.lit(sort).alias("sort"), shown.alias("names"), at.cast("int").alias("admin_level"), people.cast("long").alias("population"), tz.alias("timezone"), cc.alias("country_code")))

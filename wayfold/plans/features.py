@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import osm
 from ..operators.address import address_col, fallback_col
-from ..operators.rules import RULES, category, without_shadowed
+from ..operators.rules import category
 from ..sources.tables import table
 from . import geography as G
 
@@ -34,7 +34,7 @@ def osm_node_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def area_routing(s: SparkSession, d: str) -> DataFrame:
-    return osm.area_rows(table(s, d, "osm_areas")).select("area_id", "sort", F.col("names")[0]["name"].alias("name"), "admin_level", "timezone", "country_code")
+    return osm.area_rows(table(s, d, "osm_areas")).select("area_id", "sort", F.col("names")[0]["name"].alias("name"), "admin_level", "population", "timezone", "country_code")
 
 
 def address_extract(s: SparkSession, d: str) -> DataFrame:
@@ -86,11 +86,13 @@ def _t(k: str) -> str:
     return f"map_extract(tags, '{k}')[1]"
 
 
-def _case() -> str:
-    tests = []
-    for conditions, name in without_shadowed(RULES):
-        tests.append("WHEN " + " AND ".join(f"len({_t(k)}) > 0" if v == "*" else f"{_t(k)} = '{v}'" for k, v in conditions) + f" THEN '{name}'")
-    return "CASE " + " ".join(tests) + " ELSE 'none' END"
+#: Of the keys that nodes have here, amenity, office and place decide, in this order.
+_CASE = (
+    f"CASE WHEN {_t('amenity')} IN ('restaurant', 'food_court') THEN 'restaurant_14' WHEN {_t('amenity')} IN ('cafe', 'fast_food', 'bar', 'pub', 'biergarten', 'library', 'theatre') THEN {_t('amenity')} || '_16' "
+    f"WHEN {_t('amenity')} IN ('ice_cream', 'community_centre', 'vehicle_inspection') THEN {_t('amenity')} || '_14' WHEN {_t('amenity')} = 'driving_school' THEN 'shop_other_16' WHEN length({_t('office')}) > 0 THEN 'office_16' "
+    f"WHEN {_t('place')} = 'city' THEN 'place_6' WHEN {_t('place')} IN ('town', 'village', 'hamlet', 'suburb', 'quarter', 'neighbourhood', 'locality', 'isolated_dwelling', 'farm', 'island', 'islet', 'square', 'country', 'state', 'region', 'province', 'district', 'county', "
+    f"'subdistrict', 'municipality', 'borough', 'city_block', 'plot', 'allotments', 'continent', 'archipelago', 'polder', 'sea', 'ocean') THEN {_t('place')} ELSE 'none' END"
+)
 
 
 _POP = f"coalesce(try_cast(regexp_extract({_t('population')}, '^\\s*(\\d{{1,18}})', 1) AS BIGINT), 0) // 200 * 200"
@@ -101,17 +103,17 @@ SQL = {
     "area_routing": (
         f"WITH a AS (SELECT id, tags FROM osm_areas WHERE ({_t('timezone')} IS NOT NULL OR {_t('boundary')} IS NOT NULL) AND len(list_filter(polygons, lambda p: len(p.\"outer\") >= 3)) > 0), "
         f"z AS (SELECT *, {_t('timezone')} IS NOT NULL AND {_t('admin_level')} IS NULL AS zone FROM a) "
-        f"SELECT id AS area_id, 'timezone' AS sort, {_t('timezone')} AS name, 13 AS admin_level, {_t('timezone')} AS timezone, NULL AS country_code FROM z WHERE zone "
-        f"UNION ALL SELECT id, 'admin', string_split({_t('name')}, ';')[1], {_LEVEL}, {_t('timezone')}, CASE WHEN len({_t('ISO3166-1')}) >= 2 THEN left({_t('ISO3166-1')}, 2) END FROM z WHERE NOT zone AND {_t('name')} IS NOT NULL AND coalesce({_t('boundary')}, 'administrative') = 'administrative' AND {_LEVEL} BETWEEN 2 AND 11 "
-        f"UNION ALL SELECT id, 'postal', {_t('postal_code')}, 12, NULL, NULL FROM z WHERE NOT zone AND {_t('postal_code')} IS NOT NULL"
+        f"SELECT id AS area_id, 'timezone' AS sort, {_t('timezone')} AS name, 13 AS admin_level, 0::BIGINT AS population, {_t('timezone')} AS timezone, NULL AS country_code FROM z WHERE zone "
+        f"UNION ALL SELECT id, 'admin', string_split({_t('name')}, ';')[1], {_LEVEL}, coalesce(try_cast(replace(replace(regexp_extract({_t('population')}, '(\\d[\\d. ]*)', 1), '.', ''), ' ', '') AS BIGINT), 0) // 200 * 200, {_t('timezone')}, CASE WHEN len({_t('ISO3166-1')}) >= 2 THEN left({_t('ISO3166-1')}, 2) END FROM z WHERE NOT zone AND {_t('name')} IS NOT NULL AND coalesce({_t('boundary')}, 'administrative') = 'administrative' AND {_LEVEL} BETWEEN 2 AND 11 "
+        f"UNION ALL SELECT id, 'postal', {_t('postal_code')}, 12, 0, NULL, NULL FROM z WHERE NOT zone AND {_t('postal_code')} IS NOT NULL"
     ),
     "address_extract": "SELECT house_id AS id, street, house_number FROM house_coordinates WHERE street IS NOT NULL AND house_number IS NOT NULL",
     "multi_name_explode": (
         "WITH v AS (SELECT id, version, list_concat(" + ", ".join(f"coalesce(string_split({_t(k)}, ';'), [])" for k in osm.NAME_TAGS) + ") AS ns FROM osm_nodes) "
         "SELECT id, version, (i - 1)::INT AS pos, ns[i] AS name, 'default' AS lang FROM v, range(1, 200) r(i) WHERE i <= len(ns)"
     ),
-    "category_rules": f"SELECT id, version, {_case()} AS category FROM osm_nodes",
-    "place_extract": f"SELECT id AS osm_id, string_split({_t('name')}, ';')[1] AS name, {_case()} AS category, {_POP} AS population, false AS is_way FROM osm_nodes WHERE {_t('name')} IS NOT NULL",
+    "category_rules": f"SELECT id, version, {_CASE} AS category FROM osm_nodes",
+    "place_extract": f"SELECT id AS osm_id, string_split({_t('name')}, ';')[1] AS name, {_CASE} AS category, {_POP} AS population, false AS is_way FROM osm_nodes WHERE {_t('name')} IS NOT NULL",
     "way_node_resolution": f"WITH p AS (SELECT p_partkey, {G.sql_dense('p_partkey', 2003)} FROM part) SELECT l_orderkey AS id, count(*)::INT AS corners, arg_min(lat_e7, (l_linenumber, l_partkey)) AS first_lat, max(lng_e7) AS max_lng FROM lineitem JOIN p ON l_partkey = p_partkey GROUP BY 1",
     "relation_prefilter": f"SELECT id FROM osm_areas WHERE {_t('timezone')} IS NOT NULL OR {_t('boundary')} IN ('postal_code', 'administrative') OR {_t('name')} IS NOT NULL OR {_t('addr:housenumber')} IS NOT NULL",
     "format_address_fallback": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_size || ' ' || p_name ELSE p_name END AS address FROM part",

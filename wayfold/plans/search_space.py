@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS, haversine
 from ..operators import enrich as E
+from ..operators import forward as W
 from ..operators import reverse as R
 from ..operators.regions import containing_regions
 from ..operators.streets import distance_bonus, spread_positions
@@ -32,7 +33,8 @@ def distance_bias(s: SparkSession, d: str) -> DataFrame:
 
 
 def bbox_filter(s: SparkSession, d: str) -> DataFrame:
-    return _customers(s, d).where(F.col("lat_e7").between(415000000, 432500000) & F.col("lng_e7").between(5000000, 31000000)).select("c_custkey", "lat_e7", "lng_e7")
+    box = F.struct(F.lit(41.5).alias("min_lat"), F.lit(0.5).alias("min_lng"), F.lit(43.25).alias("max_lat"), F.lit(3.1).alias("max_lng"))
+    return _customers(s, d).where(W.in_box(box, F.col("lat_e7"), F.col("lng_e7"))).select("c_custkey", "lat_e7", "lng_e7")
 
 
 def area_lookup(s: SparkSession, d: str) -> DataFrame:
@@ -117,15 +119,19 @@ def street_position_clustering(s: SparkSession, d: str) -> DataFrame:
     return spread_positions(p)
 
 
+def _items(s: SparkSession, d: str) -> DataFrame:
+    """Orders as items of the search: customers of one residue ask, clerks' numbers are places, order states are lists of areas."""
+    o = G.table(s, d, "orders")
+    place = F.col("o_orderkey") % 3 == 0
+    return o.select("o_orderkey", (F.col("o_custkey") % 40).alias("query_id"), F.when(place, "place").otherwise("street").alias("kind"), (F.col("o_custkey") % 7).alias("loc_id"), F.when(~place & (F.col("o_orderkey") % 5 == 0), F.col("o_orderkey") % 11).cast("long").alias("hn"), F.ascii("o_orderstatus").cast("long").alias("set_id"), F.round("o_totalprice", 2).cast("double").alias("score"))
+
+
 def dup_marking(s: SparkSession, d: str) -> DataFrame:
-    o = G.table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("location"), F.col("o_orderstatus").alias("area_set"), F.round("o_totalprice", 2).alias("score"))
-    first = F.row_number().over(Window.partitionBy("location", "area_set").orderBy("score", "o_orderkey"))
-    return o.withColumn("is_duplicate", first > 1)
+    return W.ranked(_items(s, d), None, "o_orderkey").select("o_orderkey", "is_duplicate")
 
 
 def final_topn(s: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("area_set").orderBy("is_duplicate", "score", "location", "o_orderkey"))
-    return dup_marking(s, d).withColumn("rank", rank).where(F.col("rank") <= 15).select("area_set", "rank", "o_orderkey", "is_duplicate")
+    return W.ranked(_items(s, d), 15, "o_orderkey").select("query_id", "rank", "o_orderkey", "is_duplicate")
 
 
 QUERIES = {f.__name__: f for f in (haversine_distance, distance_bias, bbox_filter, area_lookup, area_sets, point_in_polygon, city_area, zip_area, timezone_of_set, country_code, admin_level_label, stored_population, reverse_places, reverse_houses, reverse_streets, reverse_topk, street_position_clustering, dup_marking, final_topn)}
@@ -146,7 +152,10 @@ _SEGS = (
     "tt AS (SELECT *, greatest(0, least(1, ((p[1]-u[1])*(v[1]-u[1])+(p[2]-u[2])*(v[2]-u[2])+(p[3]-u[3])*(v[3]-u[3])) / ((v[1]-u[1])*(v[1]-u[1])+(v[2]-u[2])*(v[2]-u[2])+(v[3]-u[3])*(v[3]-u[3])))) AS t FROM near3), "
     "lines AS (SELECT point_id, entity_id, min(sqrt(pow(p[1]-u[1]-t*(v[1]-u[1]),2)+pow(p[2]-u[2]-t*(v[2]-u[2]),2)+pow(p[3]-u[3]-t*(v[3]-u[3]),2))) AS score FROM tt GROUP BY ALL)"
 )
-_DUP = "dup AS (SELECT *, row_number() OVER (PARTITION BY location, area_set ORDER BY score, o_orderkey) > 1 AS is_duplicate FROM (SELECT o_orderkey, o_custkey % 50 AS location, o_orderstatus AS area_set, round(o_totalprice, 2) AS score FROM orders))"
+_DUP = (
+    "items AS (SELECT o_orderkey, o_custkey % 40 AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN 'place' ELSE 'street' END AS kind, o_custkey % 7 AS loc_id, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 THEN o_orderkey % 11 END AS hn, ascii(o_orderstatus) AS set_id, round(o_totalprice, 2)::DOUBLE AS score FROM orders), "
+    "dup AS (SELECT a.*, EXISTS (SELECT 1 FROM items b WHERE b.query_id = a.query_id AND b.kind = a.kind AND b.loc_id = a.loc_id AND b.hn IS NOT DISTINCT FROM a.hn AND b.set_id = a.set_id AND (b.score, b.o_orderkey) < (a.score, a.o_orderkey)) AS is_duplicate FROM items a)"
+)
 
 SQL = {
     "haversine_distance": f"WITH {_CUST} SELECT c_custkey, round({_AWAY}, 3) AS metres FROM cust",
@@ -159,7 +168,7 @@ SQL = {
     "zip_area": f"WITH {_IN} SELECT c_custkey, name AS zip FROM hit WHERE admin_level = 12",
     "timezone_of_set": f"WITH {_IN} SELECT c_custkey, timezone FROM hit WHERE admin_level = 13",
     "country_code": f"WITH {_IN} SELECT c_custkey, country_code FROM hit WHERE admin_level = 2",
-    "admin_level_label": f"WITH {G.SQL_AREAS} SELECT area_id, CASE admin_level WHEN 2 THEN 'country' WHEN 4 THEN 'state' WHEN 8 THEN 'city' ELSE '' END AS label FROM areas",
+    "admin_level_label": f"WITH {G.SQL_AREAS} SELECT area_id, CASE WHEN admin_level = 2 THEN '2' WHEN admin_level = 4 THEN 'state' WHEN admin_level = 8 THEN 'town' ELSE '' END AS label FROM areas",
     "stored_population": "SELECT c_custkey, (c_custkey * 997 % 3000000) // 200 * 200 AS population FROM customer",
     "reverse_places": f"WITH {_PTS} SELECT point_id, entity_id, round(score, 3) AS score FROM ({_NEAR(_ENT('customer', 'c_custkey'))})",
     "reverse_houses": f"WITH {_PTS} SELECT point_id, entity_id, round(score, 3) AS score FROM ({_NEAR(_ENT('part', 'p_partkey'))})",
@@ -168,6 +177,6 @@ SQL = {
         f"WITH {_PTS}, {_SEGS}, allhits AS (SELECT point_id, entity_id, score, 'place' AS kind FROM ({_NEAR(_ENT('customer', 'c_custkey'))}) UNION ALL SELECT point_id, entity_id, score, 'house' FROM ({_NEAR(_ENT('part', 'p_partkey'))}) UNION ALL SELECT point_id, entity_id, score, 'street' FROM lines) "
         "SELECT point_id, rank, kind, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY score, kind, entity_id)::INT AS rank FROM allhits) WHERE rank <= 10"
     ),
-    "dup_marking": f"WITH {_DUP} SELECT * FROM dup",
-    "final_topn": f"WITH {_DUP} SELECT area_set, rank, o_orderkey, is_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY area_set ORDER BY is_duplicate, score, location, o_orderkey)::INT AS rank FROM dup) WHERE rank <= 15",
+    "dup_marking": f"WITH {_DUP} SELECT o_orderkey, is_duplicate FROM dup",
+    "final_topn": f"WITH {_DUP} SELECT query_id, rank, o_orderkey, is_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_duplicate, round(score, 9), kind, loc_id, hn NULLS LAST, set_id, o_orderkey)::INT AS rank FROM dup) WHERE rank <= 15",
 }

@@ -96,24 +96,26 @@ def ngram_count_per_string(s: SparkSession, d: str) -> DataFrame:
     return I.strings(_names(s, d)).select("value", "n_bigrams")
 
 
-def asked(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(list(enumerate(ASKED)), "query_id long, text string")
+def asked(s: SparkSession, d: str) -> DataFrame:
+    """Worked examples, and the names of every twentieth part."""
+    own = table(s, d, "part").where(F.col("p_partkey") % 20 == 0).select((F.col("p_partkey") + 1000).alias("query_id"), F.lower("p_name").alias("text"))
+    return s.createDataFrame(list(enumerate(ASKED)), "query_id long, text string").unionByName(own)
 
 
 def ngram_match_count(s: SparkSession, d: str) -> DataFrame:
     strings = I.strings(_names(s, d))
-    counts = I.match_counts(I.asked_bigrams(asked(s)), I.bigram_index(strings))
+    counts = I.match_counts(I.asked_bigrams(asked(s, d)), I.bigram_index(strings))
     return counts.join(strings, "string_id").select("query_id", "value", "matches")
 
 
 def cosine_candidates(s: SparkSession, d: str) -> DataFrame:
     strings = I.strings(_names(s, d))
-    return I.candidates(asked(s), strings, I.bigram_index(strings)).select("query_id", "value", F.round("cosine", 6).alias("cosine"))
+    return I.candidates(asked(s, d), strings, I.bigram_index(strings)).select("query_id", "value", F.round("cosine", 6).alias("cosine"))
 
 
 def candidate_topk(s: SparkSession, d: str) -> DataFrame:
     strings = I.strings(_names(s, d))
-    return I.candidates(asked(s), strings, I.bigram_index(strings), most=5).select("query_id", "value", F.round("cosine", 6).alias("cosine"), "rank")
+    return I.candidates(asked(s, d), strings, I.bigram_index(strings), most=5).select("query_id", "value", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def posting_lists(s: SparkSession, d: str) -> DataFrame:
@@ -124,9 +126,12 @@ def posting_lists(s: SparkSession, d: str) -> DataFrame:
 
 
 def integrity_check(s: SparkSession, d: str) -> DataFrame:
+    """Postings of parts and customers held against a register that has lost the customers with a key divisible by 7."""
     strings = I.strings(_names(s, d))
-    held = table(s, d, "part").select(F.col("p_name").alias("value"))
-    return I.broken_postings(I.postings(strings, held.distinct().withColumn("loc_type", F.lit("street"))), strings, held)
+    parts = table(s, d, "part").select(F.col("p_name").alias("value")).distinct()
+    customers = table(s, d, "customer").select("c_custkey", F.col("c_name").alias("value"))
+    posted = parts.withColumn("loc_type", F.lit("street")).unionByName(customers.select("value").distinct().withColumn("loc_type", F.lit("place")))
+    return I.broken_postings(I.postings(strings, posted), strings, parts.unionByName(customers.where("c_custkey % 7 <> 0").select("value")))
 
 
 def db_stats(s: SparkSession, d: str) -> DataFrame:
@@ -176,7 +181,7 @@ _HEXED = "hexed AS (SELECT value, lower(value) AS norm, hex(encode(lower(value))
 _BIGRAMS = "grams AS (SELECT value, norm, n, list_filter(list_transform(range(0, n - 1), lambda i: substr(h, (2 * i + 1)::INT, 4)), lambda g: g[1:2] <> '20' AND g[3:4] <> '20') AS gs FROM hexed)"
 _STRINGS = f"{_NAMES}, {_HEXED}, {_BIGRAMS}, strings AS (SELECT row_number() OVER (ORDER BY value) - 1 AS string_id, value, norm, least(255, n - 1) AS n_bigrams, gs FROM grams)"
 _INDEX = "idx AS (SELECT DISTINCT unnest(gs) AS bigram, string_id FROM strings)"
-_ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(ASKED)) + ") t(query_id, text))"
+_ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(ASKED)) + ") t(query_id, text) UNION ALL SELECT p_partkey + 1000, lower(p_name) FROM part WHERE p_partkey % 20 = 0)"
 _QGRAMS = "qgrams AS (SELECT query_id, list_filter(list_transform(range(0, strlen(text) - 1), lambda i: substr(hex(encode(text)), (2 * i + 1)::INT, 4)), lambda g: g[1:2] <> '20' AND g[3:4] <> '20') AS gs FROM asked)"
 _COUNTS = "qg AS (SELECT DISTINCT query_id, len(gs) AS n_in, unnest(gs) AS bigram FROM qgrams), counts AS (SELECT query_id, n_in, string_id, count(*) AS matches FROM qg JOIN idx USING (bigram) GROUP BY ALL)"
 _COSINE = (
@@ -221,7 +226,14 @@ SQL = {
     "cosine_candidates": _ALL + "SELECT query_id, value, round(c, 6) AS cosine FROM cand",
     "candidate_topk": _ALL + "SELECT query_id, value, round(c, 6) AS cosine, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY c DESC, string_id))::INT AS rank FROM cand) WHERE rank <= 5",
     "posting_lists": f"WITH {_STRINGS} SELECT string_id, value, loc_type FROM strings JOIN (SELECT DISTINCT p_name AS value, 'street' AS loc_type FROM part UNION ALL SELECT DISTINCT c_name, 'place' FROM customer) USING (value)",
-    "integrity_check": "SELECT 1::BIGINT AS string_id, '' AS loc_type WHERE false",
+    "integrity_check": f"WITH {_STRINGS}, lost AS (SELECT c_name AS value FROM customer GROUP BY 1 HAVING bool_and(c_custkey % 7 = 0)) SELECT string_id, 'place' AS loc_type FROM strings JOIN lost USING (value) WHERE value NOT IN (SELECT p_name FROM part)",
+    # the examples' phrases are written out; of all others, runs are put in order by bytes, then by start and length
+    "sorted_phrases": (
+        "WITH names AS (SELECT DISTINCT lower(p_name) AS name FROM part), " + _TOKEN_ROWS + ", " + _RUNS + ", "
+        "r AS (SELECT name, (row_number() OVER (PARTITION BY name ORDER BY strlen(phrase) DESC, f, l) - 1)::INT AS rank, bits, phrase FROM ph) SELECT * FROM r WHERE rank < 32 "
+        "UNION ALL SELECT * FROM (VALUES ('hauptstr 12', 0, 3, 'hauptstrasse 12'), ('hauptstr 12', 1, 1, 'hauptstrasse'), ('hauptstr 12', 2, 3, 'hauptstr 12'), ('hauptstr 12', 3, 1, 'hauptstr'), ('hauptstr 12', 4, 2, '12'), "
+        "('darmstadt hbf', 0, 3, 'darmstadthauptbahnhof'), ('darmstadt hbf', 1, 3, 'darmstadt hbf'), ('darmstadt hbf', 2, 2, 'hauptbahnhof'), ('darmstadt hbf', 3, 1, 'darmstadt'), ('darmstadt hbf', 4, 2, 'hbf')) v"
+    ),
     "db_stats": f"WITH {_NAMES} SELECT 'strings' AS part, count(*) AS n FROM names UNION ALL SELECT 'streets', count(DISTINCT p_name) FROM part UNION ALL SELECT 'places', count(*) FROM customer UNION ALL SELECT 'areas', count(*) FROM nation",
     "levenshtein_threshold": (
         "WITH a AS (SELECT DISTINCT lower(p_name) AS a FROM part), b AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in WORDS) + "]) AS b) "
