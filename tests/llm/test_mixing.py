@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from wayfold.llm.mixing import mix, split_counts
 
@@ -34,3 +35,16 @@ def test_empty(spark):
     m = mix(none, weights)
     assert m.records.count() == 0 and [(x.source, x.actual, x.actual_share) for x in m.report.collect()] == [("a", 0, 0.0)]
     assert mix(none, weights.limit(0)).report.count() == 0
+
+
+def test_many_shards_are_even_and_mixed(spark):
+    """More shards than groups: every shard gets its part of the size, and of each source."""
+    rows = [(i, "ab"[i % 3 == 0], 10) for i in range(30_000)]
+    m = mix(spark.createDataFrame(rows, "id long, source string, size long"), spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1)], "source string, target_share double, max_repeats int"), shard_size=4_000, groups=6)
+    shards = {r.shard: (r.n, r.b) for r in m.records.groupBy("shard").agg(F.sum("size").alias("n"), F.sum(F.when(F.col("source") == "b", F.col("size"))).alias("b")).collect()}
+    report = {r.source: r for r in m.report.collect()}
+    assert len(shards) == 60 and set(shards) == set(range(60))
+    assert report["a"].actual == 150_000 and report["b"].actual == 90_000
+    mean = sum(n for n, _ in shards.values()) / 60
+    assert all(0.5 * mean < n < 1.6 * mean and 0.1 < b / n < 0.75 for n, b in shards.values())
+    assert m.records.select("id", "copy").distinct().count() == m.records.count()

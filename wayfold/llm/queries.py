@@ -107,7 +107,7 @@ def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Texts mixed to the sources' target shares of all tokens: shard, position, document, copy, source, tokens."""
-    return _mix(spark, folder).records.select("shard", "pos", F.col("id").alias("doc_id"), "copy", "source", F.col("size").alias("n_tokens"))
+    return _mix(spark, folder).records.select(F.col("shard").cast("int").alias("shard"), "pos", F.col("id").alias("doc_id"), "copy", "source", F.col("size").alias("n_tokens"))
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:

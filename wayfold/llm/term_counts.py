@@ -2,56 +2,62 @@
 
 Method: recursive radix partitioning. Counts are pre-aggregated where the rows are, so that a term that a third of all rows
 hold travels as one row per task. The pre-aggregated rows are written to disk once and cut into partitions by the upper bits
-of the term's hash. A partition with more than ``most`` rows is cut again by the next bits, and so on. Each partition, now
-of a known size, is aggregated by DuckDB within a memory limit. The driver sees partition sizes only.
+of the term's hash. A partition of more than ``most`` bytes is cut again by the next bits, and so on. Each partition, now
+of a known size, is aggregated out of core by DuckDB: within a memory limit, and beyond it in the task's local folder of
+Spark, should a partition that can't be cut further (rows of one hash) not fit. The driver sees partition sizes only.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import kept
 
 #: Bits of one cut.
 BITS = 6
-#: Pre-aggregated rows of a partition; at some 100 bytes each they stay well below MEMORY.
-MOST = 2_000_000
+#: Bytes of a partition, terms and counts; as a table of DuckDB they take up a few times as much.
+MOST = 64 << 20
+#: Bytes of a row besides its term.
+ROW = 40
 MEMORY = "400MB"
 
 
-def _digit(level: int) -> Column:
-    """Bits of the hash that cut at a level, from the top."""
-    return F.shiftrightunsigned("h", 64 - BITS * (level + 1)).bitwiseAND((1 << BITS) - 1)
-
-
 def _leaves(rows: DataFrame, most: int) -> list[tuple[int, int]]:
-    """Partitions as (level, upper bits), found by counting and cutting what is too large. Equal hashes stay together."""
+    """Partitions as (level, upper bits), found by adding up bytes and cutting what is too large. Equal hashes stay together.
+
+    There is about one for every ``most`` bytes of pre-aggregated rows: a few hundred thousand for tens of terabytes.
+    """
     done, level = [], 0
-    large: list[int] | None = None
-    while large is None or large:
+    asked = rows
+    while True:
         prefix = F.shiftrightunsigned("h", 64 - BITS * (level + 1))
-        asked = rows if large is None else rows.where(F.shiftrightunsigned("h", 64 - BITS * level).isin(large))
-        sizes = {r.p: r.n for r in asked.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {r.p: r.n for r in asked.groupBy(prefix.alias("p")).agg(F.sum(F.octet_length("term") + ROW).alias("n")).collect()}
         last = BITS * (level + 2) > 63
         done += [(level, p) for p, n in sizes.items() if n <= most or last]
-        large = [] if last else [p for p, n in sizes.items() if n > most]
+        large = [] if last else [(p,) for p, n in sizes.items() if n > most]
+        if not large:
+            return done
+        asked = rows.withColumn("_p", prefix).join(F.broadcast(rows.sparkSession.createDataFrame(large, "_p long")), "_p")
         level += 1
-    return done
 
 
 def _aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
-    with duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": "", "autoinstall_known_extensions": "false"}) as c:
+    # the folders that Spark itself spills to on this executor
+    local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+    with tempfile.TemporaryDirectory(prefix="terms", dir=local) as spill, duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": spill, "autoinstall_known_extensions": "false"}) as c:
         c.execute("CREATE TABLE part (leaf INTEGER, term VARCHAR, occurrences HUGEINT, records HUGEINT)")
         at = None
 
         def result() -> Iterator[pa.RecordBatch]:
-            q = c.execute("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY term")
+            q = c.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM part GROUP BY term")
             yield from q.to_arrow_reader(10_000)
             c.execute("TRUNCATE part")
 
