@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.versions import current_rows
 from ..sources.tables import table
-from . import canonical, mixing, packing, script_forms, shared_spans, term_counts, tokens, variant_names
+from . import canonical, mixing, packing, paragraphs, script_forms, shared_spans, term_counts, tokens, variant_names
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,6 +81,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, folder, "documents"))
 
 
+def p9_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of similar paragraphs of each paragraph, and whether it is one to remove."""
+    return paragraphs.paragraph_classes(table(spark, folder, "documents"))
+
+
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Share of each document's text that is found elsewhere."""
     docs = table(spark, folder, "documents")
@@ -115,8 +120,18 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).report
 
 
-QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_terms": p3_terms, "p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_terms": p3_terms, "p7_pack": p7_pack, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares, "p9_paragraphs": p9_paragraphs, "p5_found": p5_found, "p6_found": p6_found}
+#: Every window of 200 characters of every text, and the windows that two texts have, merged where they overlap or touch.
+_P9 = """
+WITH w AS (SELECT doc_id, s::INT AS s, md5(substr(text, s + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS s FROM documents WHERE length(text) >= 200)),
+shared AS (SELECT doc_id, s FROM w JOIN (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) USING (h)),
+marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM shared),
+runs AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+spans AS (SELECT doc_id, min(s) AS start_pos, max(s) + 200 AS end_pos FROM runs GROUP BY doc_id, run)
+"""
 SQL: dict[str, str] = {
+    "p9_found": _P9 + "SELECT * FROM spans",
+    "p9_shares": _P9 + "SELECT doc_id, length(text)::INT AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) END AS share FROM documents LEFT JOIN (SELECT doc_id, sum(end_pos - start_pos) AS n FROM spans GROUP BY doc_id) USING (doc_id)",
     "p3_found": _P3 + "SELECT term, mark FROM m WHERE nodes > 0 AND mark IS NOT NULL",
     "p3_terms": _P3 + "SELECT term, occurrences, nodes, mark FROM m",
 }
