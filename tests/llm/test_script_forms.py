@@ -21,3 +21,11 @@ def test_pairs(spark):
     got = {tuple(r) for r in look_alikes(df, "tag", "id", "value").collect()}
     assert got == {("name", 1, 2), ("name", 2, 3)}
     assert look_alikes(df.limit(0), "tag", "id", "value").count() == 0
+
+
+def test_further_scripts_and_numerals():
+    from wayfold.llm.script_forms import printed_form
+
+    assert printed_form("ᏴᎪᏞᏞ") == "BALL" and printed_form("Ꮋоtеl") == "Hotel" and printed_form("Οmega") == "Omega"
+    assert printed_form("Hеinrich Ⅷ") == "Heinrich VIII" and printed_form("Ĳssel") == "IJssel"
+    assert printed_form("հօuse") == printed_form("hоuse") == "house" and printed_form("Hause") != printed_form("House")

@@ -56,27 +56,23 @@ def map_to_list(values: DataFrame, reference: DataFrame, value: str = "value", e
     unseen = F.log1p(F.lit(float(max(total, 1))))
     index = counted.join(weights, "g").withColumn("x", F.col("c") * F.col("w"))
     index = index.withColumn("en", F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("e")))).select("g", "e", "ec", "w", (F.col("x") / F.col("en")).alias("x"))
-    postings = index.groupBy("g").agg(F.first("w").alias("w"), F.collect_list(F.struct("e", "ec", "x")).alias("ps"))
     if total <= BROADCAST_ENTRIES:
-        postings = F.broadcast(postings)
+        index, weights = F.broadcast(index), F.broadcast(weights)
     # few bytes but much work: spread over a stated number of tasks, which adaptive execution leaves alone; it must not be
     # the number that shuffles have anyway, or the planner takes this one out
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
     distinct = values.where(F.col(value).isNotNull()).select(F.col(value).alias("typed")).distinct().repartition(tasks, "typed")
     typed = distinct.withColumn("tw", words(F.col("typed")))
     asked = typed.select("typed", F.array_join("tw", "").alias("tc"), F.explode(grams(F.col("tw"))).alias("g")).groupBy("typed", "tc", "g").agg(F.count(F.lit(1)).alias("c"))
-    hits = asked.join(postings, "g", "left")
-    q = F.col("c") * F.coalesce(F.col("w"), unseen)
-    # entry '' carries the norm of the asked value through the same aggregation
-    nothing = F.array(F.struct(F.lit("").alias("e"), F.lit("").alias("ec"), F.lit(0.0).alias("x")))
-    norms = Window.partitionBy("typed")
-    rows = hits.select("typed", "tc", q.alias("q"), F.explode(F.concat(nothing, F.coalesce(F.col("ps"), F.array().cast("array<struct<e:string,ec:string,x:double>>")))).alias("p"))
-    scored = rows.groupBy("typed", "tc", F.col("p.e").alias("e"), F.col("p.ec").alias("ec")).agg(F.sum(F.col("q") * F.col("p.x")).alias("dot"), F.sum(F.when(F.col("p.e") == "", F.col("q") * F.col("q"))).alias("sq"))
-    scored = scored.withColumn("norm", F.sqrt(F.max("sq").over(norms))).where("e <> ''").withColumn("s", F.round(F.col("dot") / F.col("norm"), 9))
-    best = scored.groupBy("typed").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "e", "ec", "tc"))), 1, 2).alias("b"))
+    asked = asked.join(weights, "g", "left").withColumn("q", F.col("c") * F.coalesce(F.col("w"), unseen)).drop("w")
+    asked = asked.withColumn("norm", F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("typed"))))
+    # a gram that many entries have is many rows, which a join may split, not one large one
+    scored = asked.join(index.select("g", "e", "ec", "x"), "g").groupBy("typed", "tc", "e", "ec").agg(F.round(F.sum(F.col("q") * F.col("x")) / F.first("norm"), 9).alias("s"))
+    at = F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("s"), "e"))
+    two = scored.withColumn("at", at).where(F.col("at") <= 2).groupBy("typed").agg(F.array_sort(F.collect_list(F.struct("at", "s", "e", "ec", "tc"))).alias("b"))
     first, second = F.col("b")[0], F.try_element_at("b", F.lit(2))
-    score, lead = -first["s"], second["s"] - first["s"]
+    score, lead = first["s"], first["s"] - second["s"]
     close = F.levenshtein(first["tc"], first["ec"]) <= F.floor(F.lit(near) * F.length(first["ec"]))
     accepted = (F.coalesce(lead, score) >= margin) & ((score >= threshold) | ((score >= weak) & close))
-    found = best.select("typed", F.when(accepted, first["e"]).alias("entry"), score.alias("score"), F.coalesce(lead, score).alias("lead"))
+    found = two.select("typed", F.when(accepted, first["e"]).alias("entry"), score.alias("score"), F.coalesce(lead, score).alias("lead"))
     return typed.select("typed").join(found, "typed", "left")

@@ -25,29 +25,48 @@ A А Α|B В Β|C С Ϲ|E Е Ε|F - Ϝ|H Н Η|I І Ι|J Ј Ϳ|K К Κ|M М Μ|N
 a а -|c с ϲ|e е -|h һ -|i і -|j ј ϳ|o о ο|p р -|q ԛ -|s ѕ -|w ԝ -|x х -|y у -|v ѵ ν|d ԁ -|l ӏ -
 - Г Γ|- П Π|- Ф Φ|- ф φ
 """
+# Letters of further scripts with the shape of a Latin one.
+FURTHER = {
+    "armenian": "Օ O|օ o|հ h|ո n|ս u|Տ S|զ q",
+    "cherokee": "Ꭺ A|Ᏼ B|Ꮯ C|Ꭰ D|Ꭼ E|Ꮐ G|Ꮋ H|Ꭻ J|Ꮶ K|Ꮮ L|Ꮇ M|Ꮲ P|Ꮪ S|Ꭲ T|Ꮩ V|Ꮃ W|Ꮓ Z",
+    "coptic": "Ⲁ A|Ⲃ B|Ⲥ C|Ⲏ H|Ⲓ I|Ⲕ K|Ⲙ M|Ⲛ N|Ⲟ O|ⲟ o|Ⲣ P|Ⲧ T|Ⲩ Y|Ⲭ X|ⲥ c",
+}
+# Characters that are printed like the letters they stand for (width, ligatures, digraphs, Roman numerals).
+PRINTED_ALIKE = ((0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFF01, 0xFFEE))
 # Blanks of any width; characters that print nothing; hyphens of one printed length.
 BLANKS = "".join(map(chr, (0x9, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 INVISIBLE = "".join(map(chr, (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x206A), 0xFEFF)))
 HYPHENS = "".join(map(chr, (0x2010, 0x2011, 0xFE63, 0xFF0D)))
 
-SCRIPTS = ("latin", "cyrillic", "greek")
+SCRIPTS = ("latin", "cyrillic", "greek", *FURTHER)
 
 
 def _tables() -> tuple[dict[str, frozenset], dict[tuple[str, str], str]]:
     scripts: dict[str, frozenset] = {}
     to: dict[tuple[str, str], str] = {}
+    further = {s: {latin: c for c, latin in (p.split() for p in text.split("|"))} for s, text in FURTHER.items()}
     for group in LOOK_ALIKES.replace("\n", "|").split("|"):
         if not group.strip():
             continue
-        row = dict(zip(SCRIPTS, group.split(), strict=True))
-        there = frozenset(s for s, c in row.items() if c != "-")
-        for c in (row[s] for s in there):
-            scripts[c] = there
-            for s in there:
-                to[c, s] = row[s]
+        row = {s: c for s, c in zip(SCRIPTS, group.split(), strict=False) if c != "-"}
+        row |= {s: c for s, table in further.items() if (c := table.get(row.get("latin", ""))) is not None}
+        _enter(row, scripts, to)
+    for s, table in further.items():  # letters whose Latin one has no look-alike above
+        for latin, c in table.items():
+            if c not in scripts:
+                _enter({"latin": latin, s: c}, scripts, to)
     return scripts, to
 
 
+def _enter(row: dict[str, str], scripts: dict[str, frozenset], to: dict[tuple[str, str], str]) -> None:
+    there = frozenset(row) | scripts.get(row.get("latin", ""), frozenset())
+    full = {s: to[row["latin"], s] for s in scripts.get(row.get("latin", ""), ())} | row
+    for c in full.values():
+        scripts[c] = there
+        for s, spelt in full.items():
+            to[c, s] = spelt
+
+
 _SHAPE_SCRIPTS, _SPELT = _tables()
 _STRIP = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in BLANKS} | {ord(c): "-" for c in HYPHENS}
 
@@ -85,7 +104,7 @@ def printed_form(text: str | None) -> str | None:
     """The form that stands for all texts which look like ``text`` in print; null gives null."""
     if text is None:
         return None
-    wide = "".join(unicodedata.normalize("NFKC", c) if 0xFB00 <= ord(c) <= 0xFB06 or 0xFF01 <= ord(c) <= 0xFFEE else c for c in text.translate(_STRIP))
+    wide = "".join(unicodedata.normalize("NFKC", c) if any(a <= ord(c) <= b for a, b in PRINTED_ALIKE) else c for c in text.translate(_STRIP))
     shapes = unicodedata.normalize("NFD", wide.translate(_STRIP))
     return unicodedata.normalize("NFC", " ".join(_token(t) for t in shapes.strip().split(" ")))
 

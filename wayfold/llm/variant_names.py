@@ -297,7 +297,8 @@ def links(
     grams = own.select("g", "w", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3))))).alias("q"))
     counts = grams.groupBy("q").agg(F.count(F.lit(1)).alias("c"))
     sets = grams.join(counts, "q").groupBy("g", "w").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "q"))), lambda x: x["q"]).alias("qs"))
-    need = F.least(F.lit(overlap), F.greatest(F.lit(1), F.size("qs") - 3))
+    # a partner may be ``near`` letters shorter, and a pair needs what the shorter word needs
+    need = F.least(F.lit(overlap), F.greatest(F.lit(1), F.size("qs") - int(near) - 3))
     sets = sets.withColumn("bag", letters(F.col("w")))
     lead = sets.select("g", "w", "qs", "bag", F.explode(F.slice(F.col("qs"), F.lit(1), F.size("qs") - need + 1)).alias("q"))
     a, b = lead.select("g", "q", F.col("w").alias("va"), F.col("qs").alias("qa"), F.col("bag").alias("ba")), lead.select("g", "q", F.col("w").alias("vb"), F.col("qs").alias("qb"), F.col("bag").alias("bb"))
