@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import kept
+from .shared_spans import _chunks, _Hashed
 
 WORDS = 5
-#: At a similarity of 0.8 the chance to share no band is 0.0002.
-BANDS, ROWS = 16, 4
-#: Members up to which a bucket stays whole, and the longer bands for those of larger ones: the chance to share none is 0.002.
-CROWDED, LONGER = 32, 12
+#: At a similarity of 0.8 the chance to share no band is 0.003.
+BANDS, ROWS = 8, 3
+#: Members up to which a bucket stays whole, and the longer bands for those of larger ones.
+CROWDED, LONGER = 32, 8
 #: Leaders a bucket has one after the other before its classes are held against each other.
 ROUNDS = 3
 U = np.uint64
@@ -56,14 +57,44 @@ def _runs(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
         return _scrambled(sum(words[first + k] * _MIX[k] for k in range(WORDS))), which
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Characters that part words; a line break parts paragraphs.
+_BLANKS = np.array([9, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 10], np.uint32)
+_SIGNED = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("doc", pa.int64()), ("par_no", pa.int32()), ("runs", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("longer", pa.list_(pa.int64()))])
+
+
+def _paragraphs(docs: list[int], texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(record, number in the record, hashes of the words, first word, number of words) of the paragraphs with a word."""
+    whole = "\n".join(texts)
+    h = _Hashed(whole)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.isin(codes, _BLANKS)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    breaks = np.cumsum(codes == 10)
+    line = breaks[start] if len(start) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    which = np.searchsorted(begins, start[first], "right") - 1
+    before = np.concatenate(([0], breaks))[begins[which]]
+    return np.asarray(docs, np.int64)[which], line[first] - before, h.some(start, end), first, np.diff(np.append(first, len(line)))
+
+
+def _signed(every: bool):
+    """Identity of each paragraph, and with ``every`` its set of runs and the keys of its buckets."""
     seeds = np.random.default_rng(9).integers(1, 1 << 63, (2, (BANDS + LONGER) * ROWS), dtype=np.uint64) | U(1)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        lists = b.column(1)
-        start, end = (np.asarray(x, np.int64) for x in (lists.offsets[:-1], lists.offsets[1:]))
-        runs, which = _runs(lists.values.to_numpy(zero_copy_only=False).astype(np.int64).view(U), start, end - start)
+    as_lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))
+
+    def signed(docs: list[int], texts: list[str]) -> pa.RecordBatch | None:
+        doc, number, words, start, size = _paragraphs(docs, texts)
+        if not len(doc):
+            return None
+        with np.errstate(over="ignore"):
+            place = (np.arange(len(words)) - np.repeat(start, size)).astype(U)
+            i, j = (np.add.reduceat(_scrambled(words * _MIX[k] + place * _MIX[k + 1]), start) for k in (0, 2))
+        columns = [pa.array(i.view(np.int64)), pa.array(j.view(np.int64)), pa.array(doc), pa.array(number.astype(np.int32))]
+        if not every:
+            return pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(_SIGNED)[:4]))
+        runs, which = _runs(words, start, size)
         # each run once
         order = np.lexsort((runs, which))
         runs, which = runs[order], which[order]
@@ -72,16 +103,25 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
         with np.errstate(over="ignore"):
             least = [np.minimum.reduceat(_scrambled(runs * a + c), head) for a, c in seeds.T]
-            bands = [_scrambled(sum(least[i * ROWS + j] * _MIX[j] for j in range(ROWS)) + U(i)) for i in range(BANDS + LONGER)]
-            whole = _scrambled(np.add.reduceat(_scrambled(runs), head))
+            bands = [_scrambled(sum(least[b * ROWS + r] * _MIX[r] for r in range(ROWS)) + U(b)) for b in range(BANDS + LONGER)]
+            full = _scrambled(np.add.reduceat(_scrambled(runs), head))
         few = np.diff(np.append(head, len(runs))) <= 3
         keys = np.stack(bands[:BANDS], 1)
-        keys[few, 0] = whole[few]
+        keys[few, 0] = full[few]
         many = np.where(few, 1, BANDS)
         keys = keys[np.arange(BANDS) < many[:, None]].view(np.int64)
         longer = np.stack(bands[BANDS:], 1).view(np.int64).reshape(-1)
-        as_lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))
-        yield pa.RecordBatch.from_arrays([b.column(0), as_lists(runs.view(np.int64), np.append(head[1:], len(runs))), as_lists(keys, np.cumsum(many)), as_lists(longer, np.arange(1, b.num_rows + 1) * LONGER)], ["id", "runs", "keys", "longer"])
+        columns += [as_lists((runs >> U(32)).astype(np.uint32).view(np.int32), np.append(head[1:], len(runs))), as_lists(keys, np.cumsum(many)), as_lists(longer, np.arange(1, len(doc) + 1) * LONGER)]
+        return pa.RecordBatch.from_arrays(columns, schema=_SIGNED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for docs, texts in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), 1):
+                out = signed(docs, texts)
+                if out is not None:
+                    yield out
+
+    return run
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -151,19 +191,22 @@ def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     ``class_doc`` and ``class_par`` name the first paragraph of its class, ``n`` is the size of the class, copies included,
     and ``removed`` is true for all but the first. Paragraphs are numbered from 0; blank ones, null keys and null texts are
-    left out, rows that repeat a key count once each. Other columns are ignored. An empty table gives an empty result.
+    left out, rows that repeat a key count once each. Paragraphs are equal if their words are, by 128 bits of hash. Other
+    columns are ignored. An empty table gives an empty result.
     """
-    lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("par_no", "par"))
-    rows = lines.select("doc", "par_no", F.split(F.trim(F.regexp_replace("par", r"\s+", " ")), " ").alias("words")).where(F.element_at("words", 1) != "")
-    rows = kept(rows.withColumn("id", F.md5(F.array_join("words", " "))))
-    first = rows.groupBy("id").agg(F.min(F.struct("doc", "par_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
-    each = kept(first.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words"))
-    sets = kept(each.select("id", "hashes").mapInArrow(_signed, "id string, runs array<long>, keys array<long>, longer array<long>"))
+    base = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    rows = base.mapInArrow(_signed(False), "i long, j long, doc long, par_no int")
+    heads = rows.groupBy("i", "j").agg(F.min(F.struct("doc", "par_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    each = kept(heads.withColumn("id", F.monotonically_increasing_id()))
+    # sets are made only where a paragraph stands first; texts are read again and nothing but the result is shuffled
+    signed = base.mapInArrow(_signed(True), "i long, j long, doc long, par_no int, runs array<int>, keys array<long>, longer array<long>")
+    ids = each.select(F.col("first.doc").alias("doc"), F.col("first.par_no").alias("par_no"), "id")
+    sets = kept(signed.drop("i", "j").join(ids, ["doc", "par_no"]).dropDuplicates(["id"]).select("id", "runs", "keys", "longer"))
     met = kept(buckets(sets))
     roots = kept(components(links(sets, met, least)))
     roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(bridges(sets, met, roots, least)))
-    member = each.select("id", "first", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    member = each.select("id", "i", "j", "first", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     classes = member.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("n"))
-    named = member.select("id", "root").join(classes, "root").select("id", "head", "n")
-    out = rows.select("id", "doc", "par_no").join(named, "id")
+    named = member.select("i", "j", "root").join(classes, "root").select("i", "j", "head", "n")
+    out = rows.join(named, ["i", "j"])
     return out.select(F.col("doc").alias(key), "par_no", F.col("head.doc").alias("class_doc"), F.col("head.par_no").alias("class_par"), "n", ((F.col("doc") != F.col("head.doc")) | (F.col("par_no") != F.col("head.par_no"))).alias("removed"))
