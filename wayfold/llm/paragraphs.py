@@ -136,7 +136,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def buckets(sets: DataFrame) -> DataFrame:
     """(key, id) of the buckets with two members or more of paragraphs (id, keys, longer)."""
-    member = sets.select(F.explode("keys").alias("key"), "id")
+    member = sets.select(F.explode("keys").alias("key"), "id").distinct()
     size = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = kept(member.join(size, "key"))
     crowded = met.where(F.col("n") > CROWDED).select("key", "id").join(sets.select("id", "longer"), "id").select("key", "id", F.explode("longer").alias("more"))
@@ -198,10 +198,11 @@ def paragraph_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = base.mapInArrow(_signed(False), "i long, j long, doc long, par_no int")
     heads = rows.groupBy("i", "j").agg(F.min(F.struct("doc", "par_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     each = kept(heads.withColumn("id", F.monotonically_increasing_id()))
-    # sets are made only where a paragraph stands first; texts are read again and nothing but the result is shuffled
+    # sets are kept only where a paragraph stands first; texts are read again and never shuffled. Rows that repeat a text
+    # give equal sets of one id, which change nothing
     signed = base.mapInArrow(_signed(True), "i long, j long, doc long, par_no int, runs array<int>, keys array<long>, longer array<long>")
-    ids = each.select(F.col("first.doc").alias("doc"), F.col("first.par_no").alias("par_no"), "id")
-    sets = kept(signed.drop("i", "j").join(ids, ["doc", "par_no"]).dropDuplicates(["id"]).select("id", "runs", "keys", "longer"))
+    ids = each.select("i", "j", F.col("first.doc").alias("doc"), F.col("first.par_no").alias("par_no"), "id")
+    sets = kept(signed.join(ids, ["i", "j", "doc", "par_no"]).select("id", "runs", "keys", "longer"))
     met = kept(buckets(sets))
     roots = kept(components(links(sets, met, least)))
     roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(bridges(sets, met, roots, least)))
