@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import osm
 from wayfold.operators.address import format_address
-from wayfold.operators.rules import RULES, category, parse_rules, without_shadowed
+from wayfold.operators.rules import RULES, category, without_shadowed
 from wayfold.sources import osm_xml, wiki
 from wayfold.sources.osm_pbf import PbfSource
 
@@ -81,7 +81,8 @@ def test_rules(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, tags map<string,string>")
     assert [r.c for r in df.select("i", category(F.col("tags")).alias("c")).orderBy("i").collect()] == [c for _, c in cases]
     assert "city" not in [n for _, n in without_shadowed(RULES)]
-    assert without_shadowed(parse_rules("a=1 x|a=1+b=2 y|c=1+c=2 z|d=* u|d=5 w")) == [((("a", "1"),), "x"), ((("d", "*"),), "u")]
+    given = [((("a", "1"),), "x"), ((("a", "1"), ("b", "2")), "y"), ((("c", "1"), ("c", "2")), "z"), ((("d", "*"),), "u"), ((("d", "5"),), "w")]
+    assert without_shadowed(given) == [((("a", "1"),), "x"), ((("d", "*"),), "u")]
 
 
 HTML = """<table class="wikitable"><tr><th>a</th></tr>
@@ -106,3 +107,19 @@ def test_addresses():
     for c in ("US", "HU", "XX", None):
         assert format_address({"house_number": "", "road": "Test", "country_code": c}) == "Test"
     assert format_address({}) == ""
+
+
+def test_rings():
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    a, b = square(0, 0, 10), square(10, 10, 5)  # touch in one corner
+    cut = lambda r, n: [r[i : i + n + 1] for i in range(0, len(r) - 1, n)]
+    tail = [[(10, 10), (20, 3)], [(20, 3), (21, 3)]]  # leads nowhere
+    rings = osm.stitched(tail + cut(a, 1) + cut(b, 2)[::-1] + [square(2, 2, 3)])
+    assert sorted(map(sorted, map(set, rings))) == sorted(map(sorted, map(set, (a, b, square(2, 2, 3)))))
+    # three junctions with four ends each
+    chain = [square(i * 10, i * 10, 10) for i in range(4)]
+    rings = osm.stitched([p for r in chain for p in cut(r, 1)])
+    assert sorted(map(sorted, map(set, rings))) == sorted(map(sorted, map(set, chain)))
+    assert osm.stitched([[(0, 0), (1, 1)], [(1, 1), (2, 0)], [(5, 5)]]) == [] and osm.stitched([]) == []
+    found = osm.nested([square(0, 0, 100)[:-1], square(10, 10, 50)[:-1], square(20, 20, 10)[:-1], square(200, 0, 5)[:-1], square(0, 0, 7)[:-1]])
+    assert [(o[0], o[2][0] - o[0][0], len(h)) for o, h in found] == [((0, 0), 100, 2), ((20, 20), 10, 0), ((200, 0), 5, 0)]

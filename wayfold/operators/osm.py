@@ -16,21 +16,20 @@ from .regions import double_area, tidy
 from .rules import RULES, Rule, category
 
 # Features that are never imported.
-_BOTH = "information=board amenity=toilets natural=wood leisure=playground access=false amenity=taxi"
-_BOTH_KEYS = "public_transport electrified railway waterway tunnel"
-_NODES = "natural=tree natural=tree_stump emergency=fire_hydrant building=industrial amenity=bicycle_rental"
-_NODE_KEYS = "highway traffic_sign"
+_BOTH = (("information", "board"), ("amenity", "toilets"), ("natural", "wood"), ("leisure", "playground"), ("access", "false"), ("amenity", "taxi"))
+_BOTH_KEYS = ("public_transport", "electrified", "railway", "waterway", "tunnel")
+_NODES = (("natural", "tree"), ("natural", "tree_stump"), ("emergency", "fire_hydrant"), ("building", "industrial"), ("amenity", "bicycle_rental"))
+_NODE_KEYS = ("highway", "traffic_sign")
 # Name tags in the order in which they count.
 NAME_TAGS = ("name", "old_name", "alt_name", "short_name", "official_name")
 NAME_PREFIXES = ("name:", "short_name:", "alt_name:", "official_name:")
 
 
-def _none_of(tags: Column, pairs: str, keys: str) -> Column:
+def _none_of(tags: Column, pairs: tuple, keys: tuple) -> Column:
     out = F.lit(True)
-    for p in pairs.split():
-        k, v = p.split("=")
+    for k, v in pairs:
         out = out & ~F.coalesce(tags[k] == v, F.lit(False))
-    for k in keys.split():
+    for k in keys:
         out = out & ~F.coalesce(F.map_contains_key(tags, F.lit(k)), F.lit(False))
     return out
 
@@ -40,7 +39,7 @@ def way_allowed(tags: Column, nodes: Column) -> Column:
 
 
 def node_allowed(tags: Column) -> Column:
-    return _none_of(tags, f"{_BOTH} {_NODES}", f"{_BOTH_KEYS} {_NODE_KEYS}")
+    return _none_of(tags, _BOTH + _NODES, _BOTH_KEYS + _NODE_KEYS)
 
 
 def names(tags: Column) -> Column:
@@ -131,7 +130,8 @@ def area_rows(areas: DataFrame) -> DataFrame:
         kind("postal", postal, only(t["postal_code"]), F.lit(12), F.lit(0), none, none),
     ))
     rows = areas.where((t["timezone"].isNotNull() | t["boundary"].isNotNull()) & F.coalesce(outline, F.lit(False)))
-    out = rows.select(F.col("id").alias("area_id"), "from_way", F.explode(sorts).alias("a"), "polygons")
+    way = F.col("from_way") if "from_way" in areas.columns else F.lit(False)
+    out = rows.select(F.col("id").alias("area_id"), way.alias("from_way"), F.explode(sorts).alias("a"), "polygons")
     return out.select("area_id", "from_way", "a.*", "polygons")
 
 
@@ -143,27 +143,50 @@ def plain_area_features(areas: DataFrame) -> DataFrame:
 
 
 def stitched(lines: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Closed rings from pieces that meet at their ends; what does not close is left out."""
-    ends: dict[tuple[int, int], list[int]] = {}
-    for i, p in enumerate(lines):
-        for e in {p[0], p[-1]} if len(p) > 1 else ():
-            ends.setdefault(e, []).append(i)
-    used, rings = set(), []
-    for i, p in enumerate(lines):
-        if i in used or len(p) < 2:
-            continue
-        used.add(i)
-        ring = list(p)
-        while ring[0] != ring[-1]:
-            nxt = next((j for j in ends.get(ring[-1], ()) if j not in used), None)
-            if nxt is None:
+    """Closed rings from pieces that meet at their ends; what does not close is left out.
+
+    Every end that no other piece goes on from is pruned first, so a wrong way at a junction can't end in nothing. Walking
+    on, a ring is closed off as soon as the walk comes to a place it has been at, so rings that touch come out apart.
+    """
+    pieces = {i: p for i, p in enumerate(lines) if len(p) > 1}
+    ends: dict[tuple[int, int], set[int]] = {}
+    for i, p in pieces.items():
+        if p[0] != p[-1]:
+            for e in (p[0], p[-1]):
+                ends.setdefault(e, set()).add(i)
+    loose = [e for e, at in ends.items() if len(at) == 1]
+    while loose:
+        e = loose.pop()
+        for i in list(ends[e]):
+            if len(ends[e]) > 1:
                 break
-            used.add(nxt)
-            piece = lines[nxt] if lines[nxt][0] == ring[-1] else lines[nxt][::-1]
-            ring += piece[1:]
-        if ring[0] == ring[-1] and len(ring) > 3:
-            rings.append(ring)
-    return rings
+            for other in (pieces[i][0], pieces[i][-1]):
+                ends[other].discard(i)
+                if len(ends[other]) == 1:
+                    loose.append(other)
+            del pieces[i]
+    rings = [p for p in pieces.values() if p[0] == p[-1]]
+    for i in sorted(pieces):
+        at = pieces[i][0]
+        while i in ends.get(at, ()):
+            path: list[list[tuple[int, int]]] = []  # pieces walked, each in the direction of the walk
+            been = {at: 0}
+            while ends[at]:
+                n = min(ends[at])
+                path.append(pieces[n] if pieces[n][0] == at else pieces[n][::-1])
+                for e in (pieces[n][0], pieces[n][-1]):
+                    ends[e].discard(n)
+                at = path[-1][-1]
+                k = been.setdefault(at, len(path))
+                if k < len(path):
+                    ring = [q for part in path[k:] for q in part[:-1]]
+                    rings.append([*ring, ring[0]])
+                    for part in path[k:]:
+                        been.pop(part[-1], None)
+                    been[at] = k
+                    del path[k:]
+            at = pieces[i][0]
+    return [r for r in rings if len(r) > 3]
 
 
 def _within(ring: list[tuple[int, int]], p: tuple[int, int]) -> bool:
@@ -174,11 +197,36 @@ def _within(ring: list[tuple[int, int]], p: tuple[int, int]) -> bool:
     return odd
 
 
+def nested(rings: list[list[tuple[int, int]]]) -> list[tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]]:
+    """(outer ring, its holes): a ring inside an odd number of others is a hole of the smallest of them, whatever its role."""
+    boxes = [(min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r)) for r in rings]
+    sizes = [abs(double_area(r)) for r in rings]
+    corners = [set(r) for r in rings]
+    around: list[list[int]] = []
+    for i, r in enumerate(rings):
+        a = boxes[i]
+        found = []
+        for j, b in enumerate(boxes):
+            if i != j and sizes[j] > sizes[i] and b[0] <= a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3]:
+                free = next((p for p in r if p not in corners[j]), None)  # a corner that both have says nothing
+                if free is not None and _within(rings[j], free):
+                    found.append(j)
+        around.append(found)
+    outer = {i: [] for i in range(len(rings)) if len(around[i]) % 2 == 0}
+    for i, found in enumerate(around):
+        if i not in outer:
+            outer[min((j for j in found if j in outer), key=lambda j: sizes[j])].append(rings[i])
+    return [(rings[i], holes) for i, holes in outer.items()]
+
+
 POLYGONS = "array<struct<outer:array<struct<lat_e7:int,lng_e7:int>>,inners:array<array<struct<lat_e7:int,lng_e7:int>>>>>"
 
 
 def assembled(relations: DataFrame, ways: DataFrame) -> DataFrame:
-    """(id, polygons, tags): rings stitched from the relation's ways (with ``line``), inner ones given to the smallest outer around them."""
+    """(id, polygons, tags): rings stitched from the relation's ways (with ``line``), holes given to the smallest ring around them.
+
+    Which rings are holes is seen from how they lie; roles are often missing or wrong.
+    """
     parts = relations.select("id", F.posexplode("members").alias("i", "m")).where("m.type = 'way'").select("id", "i", "m.ref", "m.role")
     lined = parts.join(ways.select(F.col("id").alias("ref"), "line"), "ref")
     rings = lined.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "role", "line"))).alias("parts"))
@@ -187,17 +235,10 @@ def assembled(relations: DataFrame, ways: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for own in b["parts"]:
-                lines = {True: [], False: []}
-                for p in own:
-                    lines[p["role"] == "inner"].append([(q["lng_e7"], q["lat_e7"]) for q in p["line"]])
-                outers = [r for r in map(tidy, stitched(lines[False])) if r]
-                inners: list[list] = [[] for _ in outers]
-                for r in filter(None, map(tidy, stitched(lines[True]))):
-                    around = [i for i, o in enumerate(outers) if _within(o, r[0])]
-                    if around:
-                        inners[min(around, key=lambda i: abs(double_area(outers[i])))].append(r)
+                lines = [[(q["lng_e7"], q["lat_e7"]) for q in p["line"]] for p in own]
+                rings = [r for r in map(tidy, stitched(lines)) if r]
                 shape = lambda r: [{"lat_e7": y, "lng_e7": x} for x, y in r]
-                out.append([{"outer": shape(o), "inners": [shape(r) for r in h]} for o, h in zip(outers, inners, strict=True)])
+                out.append([{"outer": shape(o), "inners": [shape(r) for r in h]} for o, h in nested(rings)])
             yield pd.DataFrame({"id": b["id"], "polygons": out})
 
     shapes = rings.mapInPandas(run, f"id long, polygons {POLYGONS}").where(F.size("polygons") > 0)

@@ -12,33 +12,43 @@ from pyspark.sql import functions as F
 
 Rule = tuple[tuple[tuple[str, str], ...], str]
 
-# Conditions -> category, in order of precedence. place=city is met by place_6 first, so "city" is never given.
-_RULES = """
-amenity=restaurant restaurant_14|amenity=food_court restaurant_14|amenity=cafe cafe_16|amenity=fast_food fast_food_16|amenity=bar bar_16|amenity=pub pub_16
-amenity=ice_cream ice_cream_14|amenity=biergarten biergarten_16|leisure=outdoor_seating outdoor_seating_14|tourism=artwork artwork_14
-amenity=community_centre community_centre_14|amenity=library library_16|tourism=museum museum_16|amenity=theatre theatre_16
-amenity=vehicle_inspection vehicle_inspection_14|shop=dairy dairy|shop=* shop_other_16|amenity=driving_school shop_other_16|office=* office_16
-power=tower power_tower|power=pole power_pole|place=city place_6|capital=* place_capital_8
-entrance=yes rect|entrance=main entrance_main|entrance=service entrance|entrance=*+access=no rectdiag
-"""
+# Conditions and category, in order of precedence. place=city is met by place_6 first, so "city" is never given.
+_FEATURES: list[Rule] = [
+    ((("amenity", "restaurant"),), "restaurant_14"),
+    ((("amenity", "food_court"),), "restaurant_14"),
+    ((("amenity", "cafe"),), "cafe_16"),
+    ((("amenity", "fast_food"),), "fast_food_16"),
+    ((("amenity", "bar"),), "bar_16"),
+    ((("amenity", "pub"),), "pub_16"),
+    ((("amenity", "ice_cream"),), "ice_cream_14"),
+    ((("amenity", "biergarten"),), "biergarten_16"),
+    ((("leisure", "outdoor_seating"),), "outdoor_seating_14"),
+    ((("tourism", "artwork"),), "artwork_14"),
+    ((("amenity", "community_centre"),), "community_centre_14"),
+    ((("amenity", "library"),), "library_16"),
+    ((("tourism", "museum"),), "museum_16"),
+    ((("amenity", "theatre"),), "theatre_16"),
+    ((("amenity", "vehicle_inspection"),), "vehicle_inspection_14"),
+    ((("shop", "dairy"),), "dairy"),
+    ((("shop", "*"),), "shop_other_16"),
+    ((("amenity", "driving_school"),), "shop_other_16"),
+    ((("office", "*"),), "office_16"),
+    ((("power", "tower"),), "power_tower"),
+    ((("power", "pole"),), "power_pole"),
+    ((("place", "city"),), "place_6"),
+    ((("capital", "*"),), "place_capital_8"),
+    ((("entrance", "yes"),), "rect"),
+    ((("entrance", "main"),), "entrance_main"),
+    ((("entrance", "service"),), "entrance"),
+    ((("entrance", "*"), ("access", "no")), "rectdiag"),
+]
 # Kinds of places, each its own category.
 _PLACES = (
-    "country state region province district county subdistrict municipality city borough suburb quarter neighbourhood city_block plot town village hamlet "
-    "isolated_dwelling farm allotments continent archipelago island islet square locality polder sea ocean"
-)
-
-
-def parse_rules(text: str) -> list[Rule]:
-    """'k=v+k=v name' entries, divided by '|' or line breaks."""
-    out = []
-    for entry in text.replace("\n", "|").split("|"):
-        if entry.strip():
-            conditions, name = entry.split()
-            out.append((tuple(tuple(c.split("=", 1)) for c in conditions.split("+")), name))
-    return out
-
+    "country", "state", "region", "province", "district", "county", "subdistrict", "municipality", "city", "borough", "suburb", "quarter", "neighbourhood", "city_block", "plot", "town",
+    "village", "hamlet", "isolated_dwelling", "farm", "allotments", "continent", "archipelago", "island", "islet", "square", "locality", "polder", "sea", "ocean",
+)
 
-RULES: list[Rule] = parse_rules(_RULES) + [((("place", p),), p) for p in _PLACES.split()]
+RULES: list[Rule] = _FEATURES + [((("place", p),), p) for p in _PLACES]
 
 
 def without_shadowed(rules: list[Rule]) -> list[Rule]:

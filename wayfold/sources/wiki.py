@@ -1,10 +1,16 @@
-"""Rules and icons from wiki pages with tables of tags, by the standard library's HTML parser."""
+"""Rules and icons from wiki pages with tables of tags.
+
+One reader turns a page into rows of cells, whatever the table; a cell is a list of marks in the order of the page: text,
+code, line break, link, picture. What a cell says is then read off its marks by a small grammar.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
@@ -13,205 +19,216 @@ from pyspark.sql import DataFrame
 from ..functions.text import slug
 from ..operators.rules import Rule
 
-_VOID = {"br", "img", "hr", "input", "meta", "link", "wbr"}
 
+class Mark(NamedTuple):
+    sort: str  # text, code, br, link, img
+    value: str
+    more: str = ""  # a picture's list of larger ones
 
-class Node:
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
 
-    def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+@dataclass
+class Row:
+    table: int  # number of the table on the page
+    classes: frozenset[str]
+    cells: list[list[Mark]] = field(default_factory=list)
+    head: bool = False
 
-    def all(self, tag: str, cls: str = "") -> list[Node]:
-        return [n for n in self.walk() if n.tag == tag and (not cls or cls in n.attrs.get("class", "").split())]
+    def text(self, i: int) -> str:
+        return "".join(m.value for m in self.cells[i] if m.sort in ("text", "code")).strip() if i < len(self.cells) else ""
 
-    def text(self) -> str:
-        return "".join(c.text() if isinstance(c, Node) else c for c in self.children)
 
+class _Reader(HTMLParser):
+    """Rows of all tables of a page. Tables may stand in cells of others; ends of cells and rows may be left out."""
 
-class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
-        self.root = Node("", {})
-        self.open = [self.root]
+        self.rows: list[Row] = []
+        self.seen = 0
+        #: For each open table: its number, its classes, the open row, the open cell.
+        self.open: list[list] = []
+        self.code: list[str] | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("td", "th", "tr"):  # their ends may be left out
-            stop = ("tr", "table") if tag in ("td", "th") else ("table",)
-            while self.open[-1].tag not in (*stop, "tbody", "thead", ""):
-                self.open.pop()
-        n = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(n)
-        if tag not in _VOID:
-            self.open.append(n)
+        a = {k: v or "" for k, v in attrs}
+        if tag == "table":
+            self.open.append([self.seen, frozenset(a.get("class", "").split()), None, None])
+            self.seen += 1
+        if not self.open:
+            return
+        at = self.open[-1]
+        if tag == "tr":
+            at[2], at[3] = Row(at[0], at[1]), None
+            self.rows.append(at[2])
+        elif tag in ("td", "th") and at[2] is not None:
+            at[3] = []
+            at[2].head |= tag == "th"
+            if tag == "td":
+                at[2].cells.append(at[3])
+        elif tag == "code":
+            self.code = []
+        elif tag == "br":
+            self.put(Mark("br", ""))
+        elif tag == "img":
+            self.put(Mark("img", a.get("src", ""), a.get("srcset", "")))
+        elif tag == "a" and "mw-file-description" in a.get("class", "").split():
+            self.put(Mark("link", a.get("href", "")))
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n.tag == tag for n in self.open):
-            while self.open.pop().tag != tag:
-                pass
+        if tag == "code" and self.code is not None:
+            text, self.code = "".join(self.code), None
+            self.put(Mark("code", text))
+        elif tag == "table" and self.open:
+            self.open.pop()
+        elif tag in ("td", "th") and self.open:
+            self.open[-1][3] = None
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        if self.code is not None:
+            self.code.append(data)
+        else:
+            self.put(Mark("text", data))
+
+    def put(self, mark: Mark) -> None:
+        for at in self.open:  # what stands in an inner table belongs to the cells around it too
+            if at[3] is not None:
+                at[3].append(mark)
+
+
+def rows(html: str) -> list[Row]:
+    reader = _Reader()
+    reader.feed(html)
+    reader.close()
+    return reader.rows
+
+
+# cell := combination (divider combination)*; divider := line break | text with a slash; combination := tag+
+def tag_combinations(cell: list[Mark]) -> list[list[str]]:
+    """Alternatives (divided by '/' or a line break) of tags that must hold together."""
+    signs = []
+    for m in cell:
+        tag = re.sub(r"\s*\n\s*", "", m.value).strip()
+        if m.sort == "code" and "=" in tag:
+            signs.append(tag)
+        elif m.sort == "br" or m.sort == "text" and "/" in m.value:
+            signs.append(None)
+    out: list[list[str]] = [[]]
+    for s in signs:
+        if s is None:
+            out.append([])
+        else:
+            out[-1].append(s)
+    return [c for c in out if c]
 
 
-def parse(html: str) -> Node:
-    t = _Tree()
-    t.feed(html)
-    return t.root
+_FILE = re.compile(r"(?:\d+px-)?(?:File:)?(?P<stem>.*?)(?P<sizes>(?:[-_.\s]\d+(?:px)?)*)(?:\.(?:svg|png|gif))*", re.I | re.S)
 
 
 def icon_name(raw: str) -> tuple[str, str | None]:
-    """Name of an icon reference without folder, size prefix, file type and size suffix; the suffix apart."""
-    name = re.sub(r"^\d+px-", "", raw.split("/")[-1].split("?", 1)[0]).removeprefix("File:")
-    name = re.sub(r"(\.(svg|png|gif))+$", "", name, flags=re.I)
-    sizes = re.search(r"([-_.\s]\d+(px)?)+$", name, flags=re.I)
-    if not sizes:
-        return name, None
-    return name[: sizes.start()], re.findall(r"\d+", sizes.group())[-1]
+    """Stem and size of the file that an icon's address names."""
+    m = _FILE.fullmatch(raw.partition("?")[0].rpartition("/")[2])
+    sizes = re.findall(r"\d+", m["sizes"]) if m else []
+    return (m["stem"] if m else raw), (sizes[-1] if sizes else None)
 
 
-def tag_combinations(cell: Node) -> list[list[str]]:
-    """Alternatives (divided by '/' or a line break) of tags that must hold together (joined by '+')."""
-    out: list[list[str]] = [[]]
-    split = False
-    for c in cell.children:
-        if isinstance(c, str):
-            if c.strip():
-                split = "/" in c
-        elif c.tag == "br":
-            out.append([])
-            split = False
-        else:
-            code = c if c.tag == "code" else next(iter(c.all("code")), None)
-            tag = re.sub(r"\s*\n\s*", "", code.text()).strip() if code else ""
-            if "=" in tag:
-                if split:
-                    out.append([])
-                out[-1].append(tag)
-                split = False
-    return [o for o in out if o]
-
-
-def _cells(row: Node) -> list[Node]:
-    return [c for c in row.children if isinstance(c, Node) and c.tag == "td"]
+def _address(cell: list[Mark]) -> str:
+    """The file behind the cell's picture: its own page, or the picture itself."""
+    return next((m.value for sort in ("link", "img") for m in cell if m.sort == sort and m.value), "")
 
 
-def _source(cell: Node) -> str:
-    link = next(iter(cell.all("a", "mw-file-description")), None)
-    if link is not None and "href" in link.attrs:
-        return link.attrs["href"]
-    return next((i.attrs["src"] for i in cell.all("img") if "src" in i.attrs), "")
+def _named(cell: list[Mark]) -> str:
+    stem, size = icon_name(_address(cell))
+    return f"{stem}-{size}" if stem and size else stem
 
 
 def categories(html: str) -> list[dict]:
     """(icon, description, combinations) of the rows with three cells or more of the first table of tags."""
-    tables = parse(html).all("table", "wikitable")
+    tables = [r for r in rows(html) if "wikitable" in r.classes]
     if not tables:
         raise ValueError("no table of tags")
-    out = []
-    for row in tables[0].all("tr"):
-        c = _cells(row)
-        if len(c) >= 3 and (combos := tag_combinations(c[2])):
-            name, size = icon_name(_source(c[0]))
-            out.append({"icon": f"{name}-{size}" if name and size else name, "description": c[1].text().strip(), "combinations": combos})
-    return out
+    entries = [(r, tag_combinations(r.cells[2])) for r in tables if r.table == tables[0].table and len(r.cells) > 2]
+    return [{"icon": _named(r.cells[0]), "description": r.text(1), "combinations": c} for r, c in entries if c]
 
 
 def place_types(html: str) -> list[dict]:
     """One entry for each value of the key place, at its first occurrence."""
-    tables = [t for t in parse(html).all("table", "wikitable") if "taginfo-taglist" in t.attrs.get("class", "")]
-    if not tables:
+    listed = [r for r in rows(html) if {"wikitable", "taginfo-taglist"} <= r.classes]
+    if not listed:
         raise ValueError("no table of places")
     out: dict[str, dict] = {}
-    for row in (r for t in tables for r in t.all("tr")[1:]):
-        texts = [c.text().strip() for c in _cells(row)]
-        if len(texts) >= 2 and texts[0] == "place" and texts[1]:
-            out.setdefault(texts[1], {"icon": texts[1], "description": (texts[3] if len(texts) > 3 else "") or texts[1], "combinations": [[f"place={texts[1]}"]]})
+    for value, about in ((r.text(1), r.text(3)) for r in listed if not r.head and r.text(0) == "place" and r.text(1)):
+        out.setdefault(value, {"icon": value, "description": about or value, "combinations": [[f"place={value}"]]})
     return list(out.values())
 
 
 def rules(entries: list[dict]) -> list[Rule]:
     """Ordered rules of entries; '*' as a value asks only for the key."""
-    return [(tuple(tuple(p.strip() for p in t.split("=", 1)) for t in combo), slug(e["icon"] or e["description"])) for e in entries for combo in e["combinations"]]
-
+    condition = lambda t: tuple(p.strip() for p in t.split("=", 1))
+    return [(tuple(map(condition, combo)), slug(e["icon"] or e["description"])) for e in entries for combo in e["combinations"]]
 
-def image_url(img: Node) -> str | None:
-    """The address of the largest image that a picture offers."""
-    def weight(part: list[str]) -> float:
-        m = re.fullmatch(r"([\d.]+)[xw]", part[1]) if len(part) > 1 else None
-        return float(m.group(1)) if m else 1.0
 
-    offered = [p.split() for p in img.attrs.get("srcset", "").split(",") if p.split()]
-    return max(offered, key=weight)[0] if offered else img.attrs.get("src")
+def largest(picture: Mark) -> str:
+    """The address of the largest picture on offer ('address 2x, address 300w')."""
+    offers = [(float(m[2] or 1), m[1]) for m in re.finditer(r"([^\s,]\S*)(?:\s+([\d.]+)[xw])?\s*(?:,|$)", picture.more)]
+    return max(offers, key=lambda o: o[0])[1] if offers else picture.value
 
 
-def svg_url(candidate: str, base: str, name: str) -> str | None:
-    """The vector image behind a rendered one."""
-    if not candidate:
+def vector_address(shown: str, base: str, file: str) -> str | None:
+    """The vector image that a rendered picture was made from, or the page that leads to the named file; None without one."""
+    if not shown:
         return None
-    u = urlparse(urljoin(base, candidate))
-    path = u.path
-    if not path.endswith(".svg"):
-        path = path.removesuffix(".png") if path.endswith(".svg.png") else path
-        if "/thumb/" in path:
-            before, after = path.split("/thumb/", 1)
-            path = f"{before}/{after.rpartition('/')[0]}"
+    url = urlparse(urljoin(base, shown))
+    path = re.sub(r"/thumb(/.*\.svg)/[^/]*$", r"\1", url.path).removesuffix(".png")
     if path.endswith(".svg"):
-        return u._replace(path=path, query="", fragment="").geturl()
-    file = name.split("/")[-1].split("?", 1)[0].removeprefix("File:")
-    return urljoin(base, f"/wiki/Special:FilePath/{file}") if file.endswith(".svg") else None
+        return url._replace(path=path, query="", fragment="").geturl()
+    name = file.partition("?")[0].rpartition("/")[2].removeprefix("File:")
+    return urljoin(base, f"/wiki/Special:FilePath/{name}") if name.endswith(".svg") else None
 
 
-def clean_name(name: str) -> str:
-    out = re.sub(r"(_svg)+$", "", name).replace("_svg_", "_")
-    return re.sub(r"_(\d+)px$", r"_\1", out).rstrip("_") or name
+def _file_name(address: str, url: str) -> str:
+    stem, size = icon_name(address)
+    name = slug(f"{stem}-{size}" if size else stem) or slug(urlparse(url).path.rpartition("/")[2].removesuffix(".svg") or "icon")
+    tidied = re.sub(r"_(\d+)px$", r"_\1", re.sub(r"_svg(?=_|$)", "", name)).rstrip("_")
+    return f"{tidied or name}.svg"
 
 
 def icons(html: str, base: str) -> dict[str, str]:
     """{file name: address} of the icons in the first cell of table rows; the first occurrence of a name counts."""
     out: dict[str, str] = {}
-    for row in parse(html).all("tr"):
-        cells = _cells(row)
-        img = next(iter(cells[0].all("img")), None) if cells else None
-        if img is None:
-            continue
-        source = _source(cells[0])
-        if url := svg_url(image_url(img) or "", base, source):
-            name, size = icon_name(source)
-            own = slug(f"{name}-{size}" if size else name) or slug(urlparse(url).path.rpartition("/")[2].removesuffix(".svg") or "icon")
-            out.setdefault(f"{clean_name(own)}.svg", url)
+    for row in rows(html):
+        picture = next((m for m in (row.cells[0] if row.cells else ()) if m.sort == "img"), None)
+        if picture is not None:
+            address = _address(row.cells[0])
+            url = vector_address(largest(picture), base, address)
+            if url:
+                out.setdefault(_file_name(address, url), url)
     return out
 
 
+def _over_pages(pages: DataFrame, read: Callable[[str], list[tuple]], columns: list[str], types: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(page, *r) for page, html in zip(b["page_id"], b["html"], strict=True) for r in read(html or "")]
+            yield pd.DataFrame(found, columns=["page_id", *columns])
+
+    return pages.select("page_id", "html").mapInPandas(run, types)
+
+
 def icon_table(pages: DataFrame, base: str) -> DataFrame:
     """(page_id, file, url) of pages (page_id, html); pages without icons give nothing."""
+    return _over_pages(pages, lambda html: list(icons(html, base).items()), ["file", "url"], "page_id long, file string, url string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, f, u) for p, h in zip(b["page_id"], b["html"], strict=True) if h for f, u in icons(h, base).items()]
-            yield pd.DataFrame(rows, columns=["page_id", "file", "url"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, file string, url string")
+def page_rules(html: str) -> list[Rule]:
+    """The rules of a page with a table of tags or, failing that, of places."""
+    for read in (categories, place_types):
+        try:
+            return rules(read(html))
+        except ValueError:
+            continue
+    return []
 
 
 def rule_table(pages: DataFrame) -> DataFrame:
     """(page_id, rule_no, conditions array<struct<key,value>>, category) of pages with a table of tags; others give nothing."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, h in zip(b["page_id"], b["html"], strict=True):
-                for read in (categories, place_types):
-                    try:
-                        found = rules(read(h or ""))
-                    except ValueError:
-                        continue
-                    rows += [(p, i, [{"key": k, "value": v} for k, v in c], n) for i, (c, n) in enumerate(found)]
-                    break
-            yield pd.DataFrame(rows, columns=["page_id", "rule_no", "conditions", "category"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, rule_no int, conditions array<struct<key:string,value:string>>, category string")
+    read = lambda html: [(i, [{"key": k, "value": v} for k, v in conditions], name) for i, (conditions, name) in enumerate(page_rules(html))]
+    return _over_pages(pages, read, ["rule_no", "conditions", "category"], "page_id long, rule_no int, conditions array<struct<key:string,value:string>>, category string")
