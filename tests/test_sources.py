@@ -1,3 +1,4 @@
+import pytest
 import struct
 import zlib
 
@@ -123,3 +124,15 @@ def test_rings():
     assert osm.stitched([[(0, 0), (1, 1)], [(1, 1), (2, 0)], [(5, 5)]]) == [] and osm.stitched([]) == []
     found = osm.nested([square(0, 0, 100)[:-1], square(10, 10, 50)[:-1], square(20, 20, 10)[:-1], square(200, 0, 5)[:-1], square(0, 0, 7)[:-1]])
     assert [(o[0], o[2][0] - o[0][0], len(h)) for o, h in found] == [((0, 0), 100, 2), ((20, 20), 10, 0), ((200, 0), 5, 0)]
+
+
+def test_template_file(tmp_path):
+    pytest.importorskip("yaml")
+    from wayfold.sources.templates import read_templates
+
+    p = tmp_path / "countries.yaml"
+    p.write_text("generic1: &generic1 |\n    {{{road}}} {{{house_number}}}\n    {{{postcode}}} {{#first}} {{{city}}} || {{{county}}} {{/first}}\nplain: text\nDE:\n    address_template: *generic1\nNO:\n    address_template: *generic1\nXY:\n    use_country: DE\n")
+    templates = read_templates(str(p))
+    assert set(templates) == {"DE", "NO"}
+    assert format_address({"road": "Ring", "house_number": "7", "postcode": "1", "county": "K", "country_code": "NO"}, templates) == "Ring 7, 1 K"
+    assert format_address({"road": "Ring", "house_number": "7", "country_code": "XY"}, templates) == "7 Ring"

@@ -12,7 +12,7 @@ from .operators import enrich, osm
 from .operators import forward as W
 from .operators import index as I
 from .operators import reverse as R
-from .operators.address import address_col
+from .operators.address import TEMPLATES, address_col
 from .operators.regions import triangles
 from .operators.rules import RULES, Rule
 from .operators.streets import spread_positions
@@ -109,10 +109,11 @@ class Geocoder:
         e7 = points.select("point_id", F.round(F.col("lat") * 1e7).cast("int").alias("lat_e7"), F.round(F.col("lng") * 1e7).cast("int").alias("lng_e7"))
         return enrich.area_sets(e7, "point_id", self.area_shapes, self.area_triangles)
 
-    def formatted(self, suggestions: DataFrame) -> DataFrame:
-        """Suggestions with a one-line address of their street, number and country."""
+    def formatted(self, suggestions: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+        """Suggestions with a one-line address of their street, number and country, by ``templates`` of countries
+        (``sources.templates`` reads a public file of them)."""
         a = F.struct(F.col("house_number"), F.col("name").alias("road"), F.col("country_code"))
-        return suggestions.withColumn("address", address_col(a))
+        return suggestions.withColumn("address", address_col(a, templates))
 
     def stats(self) -> DataFrame:
         return I.stats({"strings": self.db.strings, "streets": self.db.streets, "places": self.db.places, "areas": self.db.areas})
