@@ -119,6 +119,15 @@ def street_position_clustering(s: SparkSession, d: str) -> DataFrame:
     return spread_positions(p)
 
 
+def area_language(s: SparkSession, d: str) -> DataFrame:
+    """The name in which the area of each customer is shown, with German before French before the default name."""
+    k = F.col("c_custkey")
+    name = lambda lang, test: F.when(test, F.struct(F.concat(F.lit(lang), F.lit(" "), "c_name").alias("name"), F.lit(lang).alias("lang")))
+    names = F.array_compact(F.array(name("default", F.lit(True)), name("de", k % 2 == 0), name("fr", k % 3 == 0), name("it", k % 5 == 0)))
+    matched = F.when(k % 7 == 0, F.lit("it")).when(k % 7 == 1, F.lit("default"))
+    return _customers(s, d).select("c_custkey", W.shown_name_col(names, ("default", "fr", "de"), matched).alias("shown"))
+
+
 def _items(s: SparkSession, d: str) -> DataFrame:
     """Orders as items of the search: customers of one residue ask, clerks' numbers are places, order states are lists of areas."""
     o = G.table(s, d, "orders")
@@ -134,7 +143,7 @@ def final_topn(s: SparkSession, d: str) -> DataFrame:
     return W.ranked(_items(s, d), 15, "o_orderkey").select("query_id", "rank", "o_orderkey", "is_duplicate")
 
 
-QUERIES = {f.__name__: f for f in (haversine_distance, distance_bias, bbox_filter, area_lookup, area_sets, point_in_polygon, city_area, zip_area, timezone_of_set, country_code, admin_level_label, stored_population, reverse_places, reverse_houses, reverse_streets, reverse_topk, street_position_clustering, dup_marking, final_topn)}
+QUERIES = {f.__name__: f for f in (haversine_distance, distance_bias, bbox_filter, area_lookup, area_sets, point_in_polygon, city_area, zip_area, timezone_of_set, country_code, admin_level_label, stored_population, reverse_places, reverse_houses, reverse_streets, reverse_topk, street_position_clustering, area_language, dup_marking, final_topn)}
 
 _HAV = lambda a, b, c, e: f"2 * {RADIUS} * asin(least(1.0, sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({e}) - radians({b})) / 2), 2))))"
 _CUST = f"cust AS (SELECT c_custkey, {G.sql_wide('c_custkey', 0)} FROM customer)"
@@ -157,7 +166,21 @@ _DUP = (
     "dup AS (SELECT a.*, EXISTS (SELECT 1 FROM items b WHERE b.query_id = a.query_id AND b.kind = a.kind AND b.loc_id = a.loc_id AND b.hn IS NOT DISTINCT FROM a.hn AND b.set_id = a.set_id AND (b.score, b.o_orderkey) < (a.score, a.o_orderkey)) AS is_duplicate FROM items a)"
 )
 
+#: Ways of a name come one after the other; each is kept if it is far enough from all kept before it.
+_SPREAD = (
+    f"WITH RECURSIVE w AS (SELECT p_name AS name, p_partkey AS way_id, lat_e7, lng_e7, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM (SELECT p_name, p_partkey, {G.sql_dense('p_partkey', 2003)} FROM part)), "
+    "r AS (SELECT DISTINCT name, 0 AS n, []::STRUCT(way_id BIGINT, lat_e7 INT, lng_e7 INT)[] AS held FROM w UNION ALL SELECT r.name, r.n + 1, CASE WHEN len(list_filter(held, lambda k: "
+    + _HAV("k.lat_e7 / 1e7", "k.lng_e7 / 1e7", "w.lat_e7 / 1e7", "w.lng_e7 / 1e7")
+    + " < 1500)) = 0 THEN list_append(held, {'way_id': w.way_id::BIGINT, 'lat_e7': w.lat_e7::INT, 'lng_e7': w.lng_e7::INT}) ELSE held END FROM r JOIN w ON w.name = r.name AND w.rn = r.n + 1), "
+    "last AS (SELECT name, arg_max(held, n) AS held FROM r GROUP BY name) "
+    "SELECT name, (i - 1)::INT AS pos, held[i].way_id AS way_id, held[i].lat_e7 AS lat_e7, held[i].lng_e7 AS lng_e7 FROM last, range(1, 100000) t(i) WHERE i <= len(held)"
+)
+
 SQL = {
+    "street_position_clustering": _SPREAD,
+    "area_language": (
+        "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 5 = 0 THEN 'it' WHEN c_custkey % 7 = 1 THEN 'default' WHEN c_custkey % 2 = 0 THEN 'de' WHEN c_custkey % 3 = 0 THEN 'fr' ELSE 'default' END || ' ' || c_name AS shown FROM customer"
+    ),
     "haversine_distance": f"WITH {_CUST} SELECT c_custkey, round({_AWAY}, 3) AS metres FROM cust",
     "distance_bias": f"WITH {_CUST}, m AS (SELECT c_custkey, {_AWAY} AS m FROM cust) SELECT c_custkey, 0.5 * CASE WHEN m < 2000 THEN 2.5 WHEN m < 10000 THEN 2 WHEN m < 100000 THEN 1 WHEN m < 1000000 THEN 0.5 ELSE 0 END::DOUBLE AS bonus FROM m",
     "bbox_filter": f"WITH {_CUST} SELECT * FROM cust WHERE lat_e7 BETWEEN 415000000 AND 432500000 AND lng_e7 BETWEEN 5000000 AND 31000000",
