@@ -22,3 +22,14 @@ def test_empty(spark):
     assert map_to_list(values.limit(0), values).count() == 0
     long = spark.createDataFrame([("ab " * 20000,)], "value string")
     assert map_to_list(long, values).count() == 1
+
+
+def test_large_lists_are_joined_by_shuffle(spark, monkeypatch):
+    from wayfold.llm import canonical
+
+    values = spark.createDataFrame([(v,) for v in ("libary", "tea hosue", "zzz", None, "library")], "value string")
+    listed = spark.createDataFrame([("library",), ("tea_house",), ("bakery",), (None,)], "value string")
+    small = set(map(tuple, canonical.map_to_list(values, listed).collect()))
+    monkeypatch.setattr(canonical, "BROADCAST_ENTRIES", 0)
+    assert set(map(tuple, canonical.map_to_list(values, listed).collect())) == small
+    assert {(r[0], r[1]) for r in small} == {("libary", "library"), ("tea hosue", "tea_house"), ("zzz", None), ("library", "library")}

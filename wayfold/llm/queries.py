@@ -93,7 +93,9 @@ CONTAINER = 2048
 def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Container of every text, or piece of a text over 2,048 tokens, with the fill of the container."""
     docs = table(spark, folder, "documents")
-    chars = docs.agg(F.sum("n_chars")).first()[0] or 0  # reads one number column; only sets how many parts there are
+    # reads one number column, and the texts only if that is not filled everywhere; it sets how many parts there are
+    known = docs.agg(F.sum("n_chars").alias("n"), F.count(F.lit(1)).alias("all"), F.count("n_chars").alias("told")).first() if "n_chars" in docs.columns else None
+    chars = (known.n if known is not None and known.told == known["all"] else docs.agg(F.sum(F.length("text"))).first()[0]) or 0
     sized = docs.select("doc_id", tokens.n_tokens(F.col("text")).alias("n_tokens"))
     packed = packing.pack(sized, "doc_id", "n_tokens", CONTAINER, parts=packing.parts_for(chars // 4, CONTAINER))
     return packed.select(F.col("item").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"), "part", "container", "fill")

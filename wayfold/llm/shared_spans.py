@@ -4,7 +4,7 @@ A character is shared if it lies in a window of ``span`` characters that occurs
 MinHash banding tuned for full recall: the "paragraphs" are all windows of ``span`` characters, the signature of a window is
 the smallest hash of its k-grams (one band of one row), and equal windows therefore always collide. In a text,
 neighbouring windows have the same smallest k-gram, so a text has only few of them (*anchors*), each owning a run of window
-starts. Collisions are then verified on the characters:
+starts. Collisions are then verified on the windows themselves:
 
 1. Each text gives its anchors, with a hash of the whole stretch that the anchor's windows cover. Anchors meet by hash.
 2. Where a whole stretch recurs in another record, all its windows are shared. This settles the inside of long copies.
@@ -15,7 +15,8 @@ starts. Collisions are then verified on the characters:
 Copies never make pairs: a group yields, for each record, only which of its own windows recur. Groups that many records
 share are thinned where they arise: within a batch of texts a stretch that recurs is settled on the spot, and one row goes
 on to the group for all. Groups with more than HOT stretches at step 3 are not gathered but compared by window hash with a
-partially aggregated join. Characters are compared by 64-bit hashes of whole windows.
+partially aggregated join, each window under its anchor. Windows are taken for equal if their anchor and the window as a
+whole have the same hash of 64 bits each, so by 128 bits.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def _anchor_rows(span: int, k: int):
 
 
 _SLICE = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("text", pa.string())])
-_WINDOW = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("start", pa.int64())])
+_WINDOW = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("start", pa.int64())])
 _RUN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -256,8 +257,8 @@ def _windows(span: int):
                 t = b.slice(i, HOT)
                 if t.num_rows:
                     h, which, offset = _window_hashes(t.column(4).to_pylist(), span)
-                    doc, last, start = (t.column(c).to_numpy()[which] for c in (1, 2, 3))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(doc), pa.array(last), pa.array(start + offset)], schema=_WINDOW)
+                    key, doc, last, start = (t.column(c).to_numpy()[which] for c in range(4))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h.astype(np.int64)), pa.array(doc), pa.array(last), pa.array(start + offset)], schema=_WINDOW)
 
     return run
 
@@ -303,8 +304,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
 
     quiet = cut(asked.join(crowded, "key", "left_anti")).repartition("key").sortWithinPartitions("key").mapInArrow(_compared(span), _ddl(_RUN))
     windows = cut(asked.join(crowded, "key", "left_semi")).mapInArrow(_windows(span), _ddl(_WINDOW))
-    met = windows.groupBy("hash").agg(F.min(F.least("doc", "last")).alias("d0"), F.max(F.greatest("doc", "last")).alias("d1")).where("d0 < d1").select("hash")
-    loud = windows.join(met, "hash").select("doc", "start", (F.col("start") + span).alias("end"))
+    met = windows.groupBy("key", "hash").agg(F.min(F.least("doc", "last")).alias("d0"), F.max(F.greatest("doc", "last")).alias("d1")).where("d0 < d1").select("key", "hash")
+    loud = windows.join(met, ["key", "hash"]).select("doc", "start", (F.col("start") + span).alias("end"))
     return merged_runs(settled.unionByName(quiet).unionByName(loud)).select(F.col("doc").alias(key), F.col("start").cast("int").alias("start_pos"), F.col("end").cast("int").alias("end_pos"))
 
 
