@@ -105,7 +105,7 @@ def asked(s: SparkSession, d: str) -> DataFrame:
 def ngram_match_count(s: SparkSession, d: str) -> DataFrame:
     strings = I.strings(_names(s, d))
     counts = I.match_counts(I.asked_bigrams(asked(s, d)), I.bigram_index(strings))
-    return counts.join(strings, "string_id").select("query_id", "value", "matches")
+    return counts.hint("merge").join(strings.hint("merge"), "string_id").select("query_id", "value", "matches")
 
 
 def cosine_candidates(s: SparkSession, d: str) -> DataFrame:
